@@ -4,20 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, license_scan, mixing, packing, quality_rules, secrets
 from .common import documents
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir)))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mixing.schedule(docs, mixing.plan(mixing.source_tokens(docs)))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.judged(docs, quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op4_best_fit_packing, op6_exact_dedup, op8_source_mixing, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
