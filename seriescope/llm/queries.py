@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, packing, quality_rules, secrets
+from . import exact_dedup, license_scan, mixing, packing, quality_rules, secrets, simhash
 from .common import documents
 
 
@@ -24,6 +25,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(documents(spark, sf_dir), words=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return mixing.schedule(docs, mixing.plan(mixing.source_tokens(docs)))
@@ -34,7 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op4_best_fit_packing, op6_exact_dedup, op8_source_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op4_best_fit_packing, op6_exact_dedup, op7_simhash_near_dedup, op8_source_mixing, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
