@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, packing, quality_rules, secrets, simhash
+from . import exact_dedup, license_scan, mixing, packing, quality_gam, quality_rules, secrets, simhash
 from .common import documents
 
 
@@ -35,12 +35,17 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(docs, mixing.plan(mixing.source_tokens(docs)))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_gam.judged(docs, quality_gam.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.judged(docs, quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op4_best_fit_packing, op6_exact_dedup, op7_simhash_near_dedup, op8_source_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op4_best_fit_packing, op6_exact_dedup, op7_simhash_near_dedup, op8_source_mixing, op9_quality_classifier, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
