@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, lm_score, mixing, packing, quality_gam, quality_rules, secrets, simhash
+from . import exact_dedup, license_scan, lm_score, mixing, packing, quality_gam, quality_rules, secrets, simhash, suffix_dedup
 from .common import documents
 
 
@@ -13,6 +13,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op4_best_fit_packing, op5_lm_score, op6_exact_dedup, op7_simhash_near_dedup, op8_source_mixing, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_license_scan, op4_best_fit_packing, op5_lm_score, op6_exact_dedup, op7_simhash_near_dedup, op8_source_mixing, op9_quality_classifier, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
