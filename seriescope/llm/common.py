@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +65,15 @@ def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Give back the disk of shuffles whose results are written. Spark drops their files when the JVM has collected the last
+    mention of them; the first collection finds only the plans, so a second follows."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def with_hot_rows_broadcast(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
     """Left join on ``key`` that a hot key cannot skew.
 

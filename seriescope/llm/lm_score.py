@@ -19,16 +19,15 @@ result; further columns are not read. Texts are whole; a block with a very long
 
 from __future__ import annotations
 
-import gc
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, materialized, text_of
+from .common import doc_fold, materialized, release_shuffles, text_of
 
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text of a block; bytes of text behind a part of the hash range; bytes hashed at once.
@@ -238,12 +237,6 @@ def _scores(docs: pa.Table, answers: pa.Table, model: Model) -> pa.Table:
     return pa.table([docs.column("doc_id"), docs.column("held_out"), pa.array(tokens.lengths.astype(np.int64)), pa.array(add((word > 0).astype(np.int64))), same, pa.array(add(base)), pa.array(add(model.log10(both, context, word)))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _let_go(spark: SparkSession) -> None:
-    """Shuffle files of steps that are done go once their tables are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -255,11 +248,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     posted = dealt.groupBy("block").applyInArrow(lambda t: _post(t, bits), "part int, block long, kind byte, tails binary, counts binary")
     answered = materialized(posted.groupBy("part").applyInArrow(lambda t: _answer(t, bits), "block long, kind byte, part int, n long, found binary"), "lm-counts")
     del posted
-    _let_go(spark)
+    release_shuffles(spark)
     blocks, answers = dealt.groupBy("block"), answered.groupBy("block")
     cells = blocks.cogroup(answers).applyInArrow(_histogram, "cell long, n long, s2 double, s1 double")
     model = learn([tuple(r) for r in cells.groupBy("cell").agg(F.sum("n"), F.sum("s2"), F.sum("s1")).orderBy("cell").collect()])
     del cells
-    _let_go(spark)
+    release_shuffles(spark)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.cogroup(answers).applyInArrow(lambda d, a: _scores(d, a, model), schema)
