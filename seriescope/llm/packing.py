@@ -13,9 +13,12 @@ further columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,32 +30,69 @@ from .common import materialized, small_arrow_batches, text_of
 CAPACITY = 2048
 #: Pieces of a group (a task packs one group at a time), and rounds of exchange after the first packing.
 GROUP_PIECES, ROUNDS = 60_000, 3
-#: Chunks between white space whose ids a worker remembers at once.
-REMEMBERED = 400_000
+#: About so many chunks between white space, and parts of them, whose ids a worker remembers.
+REMEMBERED = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: How the tokenizer must cut texts for ids to be put together from chunks: parts never reach over white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-case ASCII without controls.
+PARTS = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+
+
+def _kept_by_worker(name: str, make):
+    """A value that a worker process makes once and keeps for its later tasks."""
+    store = sys.modules.setdefault("_seriescope_worker", types.ModuleType("_seriescope_worker")).__dict__
+    return store[name] if name in store else store.setdefault(name, make())
+
+
 class Encoder:
-    """Ids of whole texts. White space ends every token, so chunks between it are encoded once and remembered."""
+    """Ids of whole texts, as bytes of unsigned 32-bit numbers.
+
+    Where the tokenizer splits at white space and into the parts of ``SPLIT``, the ids of a text are those of its chunks
+    between white space, and the ids of a plain chunk those of its parts; both are remembered. Any other tokenizer encodes
+    whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        chunks = text.encode("utf-8", "replace").split()  # bytes.split parts at space and 9 to 13 only
-        known = self.known
-        missing = list({c for c in chunks if c not in known})
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = list(set(chunks))
-            for c, e in zip(missing, self.tokenizer.encode_batch([m.decode() for m in missing], add_special_tokens=False)):
-                known[c] = tuple(e.ids)
-        ids = np.fromiter(chain.from_iterable(map(known.__getitem__, chunks)), np.uint32)
-        return np.append(ids, np.uint32(0))
+        self.tokenizer, self.chunks, self.parts = Tokenizer.from_file(path), {}, {}
+        self.plain, self.part = re.compile(rb"[!-~]+").fullmatch, re.compile(PARTS).findall
+        self.by_chunk = self._splits(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _splits(told: dict) -> bool:
+        first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        changes = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers") or []]
+        tight = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) and t["content"].startswith("<|") for t in told.get("added_tokens") or [])
+        return first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True and changes == ["NFC", "Replace", "Lowercase"] and tight
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_chunk:
+            return self._ids(texts)
+        split = [t.encode("utf-8", "replace").split() for t in texts]  # bytes.split parts at space and 9 to 13 only
+        known, parts = self.chunks, self.parts
+        missing = [c for c in set().union(*split) if c not in known]
+        plain = [(c, self.part(c.lower())) for c in missing if self.plain(c) and b"<|" not in c]
+        fresh = list({p for _, ps in plain for p in ps if p not in parts})
+        now_parts = dict(zip(fresh, self._ids([p.decode() for p in fresh])))
+        of_part = lambda p: parts[p] if p in parts else now_parts[p]
+        now = {c: b"".join(map(of_part, ps)) for c, ps in plain}
+        other = [c for c in missing if c not in now]
+        now.update(zip(other, self._ids([c.decode() for c in other])))
+        # What a full memory has no room for is encoded again where it comes again.
+        if len(parts) < REMEMBERED:
+            parts.update(now_parts)
+        if len(known) < REMEMBERED:
+            known.update(now)
+            return [b"".join(map(known.__getitem__, s)) for s in split]
+        return [b"".join([known[c] if c in known else now[c] for c in s]) for s in split]
 
 
 def default_tokenizer() -> str:
@@ -69,11 +109,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
+        encode = _kept_by_worker(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py())
+            for doc, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids = np.append(np.frombuffer(found, "<u4"), np.uint32(0))
                 for n, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for to, x in zip(rows, (doc, n, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), part.astype(np.int32))):

@@ -45,6 +45,21 @@ def test_packing_is_gapless_and_whole(spark, group_pieces):
         assert len(ids) == packing.lower_bound(np.array([r["length"] for r in out]))
 
 
+def test_encoder_against_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["Rewh.### And&&& a$$$ OF!! it's 'street ''s don't I'LL x<|endoftext|>y <|ENDOFTEXT|> 12ab34", "É e\u0301 \u00a0x\u2003y \x1cz\x7f \u0130K \u03a3\u03a3 漢字 ½ ① ﬁ", "", "a\x00b\tc\x0bd", *[t or "" for _, t in TEXTS]]
+    for most in (600_000, 3):
+        monkeypatch.setattr(packing, "REMEMBERED", most)
+        encode = packing.Encoder(packing.default_tokenizer())
+        assert encode.by_chunk
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        encode.by_chunk = False
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack_nothing(spark):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
