@@ -18,6 +18,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ CAPACITY = 2048
 #: Pieces of a group (a task packs one group at a time), and rounds of exchange after the first packing.
 GROUP_PIECES, ROUNDS = 60_000, 3
 #: About so many chunks between white space, and parts of them, whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -71,7 +72,7 @@ class Encoder:
         return first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True and changes == ["NFC", "Replace", "Lowercase"] and tight
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
@@ -116,7 +117,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 ids = np.append(np.frombuffer(found, "<u4"), np.uint32(0))
                 for n, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    for to, x in zip(rows, (doc, n, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), part.astype(np.int32))):
+                    for to, x in zip(rows, (doc, n, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), part.astype(np.int32) if with_ids else None)):
                         to.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
