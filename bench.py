@@ -47,7 +47,7 @@ def throughput(spark: SparkSession) -> dict[str, int]:
         out[f"hash_and_sketch_{labels}_labels_per_s"] = round(n / run(estimate.cardinality(rows, ("groupLabel",), exact=False)))
         rows.unpersist()
     body = wire.encode([[*((f"label{i}", f"val{i:05d}_" + "x" * 20) for i in range(20)), ("groupLabel", "1")]] * 5000)
-    n = 16
+    n = 64
     requests = spark.range(n, numPartitions=n).select(F.col("id").alias("request"), F.lit(bytearray(body)).alias("body"))
     run(wire.read_requests(requests))
     out["wire_decode_20_labels_per_s"] = round(n * 5000 / run(wire.read_requests(requests)))
