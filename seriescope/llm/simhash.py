@@ -14,6 +14,11 @@ returns more rows than it has. Components of all forests are found by rounds of
 
 Equal fingerprints are merged before the search, so a group of copies of any size is one query.
 
+Near copies. Two texts that share 80 % of their shingles differ in about ten of 64 bits, a radius at which no bound prunes.
+``similar`` therefore also takes SimHashes of samples: for each of several orders of the hashes, of the first few distinct
+shingles in that order. Texts that share a sample are candidates, each with the least id of its sample group (never all with
+all), and a candidate links if the whole shingle sets have a Jaccard similarity of ``SIMILARITY`` or more.
+
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; with fewer words
 than a shingle takes, all words are the one shingle; null ids are in components like others, but never name one unless no
 member has an id; repeated rows are members; an empty table gives an empty result; ``deduplicate`` passes further columns
@@ -29,47 +34,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialized, small_arrow_batches, text_of, with_hot_rows_broadcast
+from .common import materialized, release_shuffles, small_arrow_batches, text_of, with_hot_rows_broadcast
 
 VANTAGE = 0x9E3779B97F4A7C15
 #: Rows (stored and queries) of a task of the search, on average; fingerprints of a leaf that call for another level.
 SHARD_ROWS, LEAF_ROWS = 250_000, 4_000
 #: Queries compared with the stored fingerprints of a leaf at once.
 BLOCK = 1_024
+#: Least similarity of near copies; orders of shingles, and shingles of a sample: at similarity 0.8 a pair shares some sample
+#: with probability 0.98, at 0.9 with over 0.9999.
+SIMILARITY, ORDERS, SAMPLE = 0.8, 8, 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str, words: int = 3) -> int:
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; none for a text without words."""
     import xxhash
 
     found = text.encode("utf-8", "replace").translate(LOWER).split()
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) < words:
-        hashes = np.array([digest(joined, 42)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        n = len(found) - words + 1
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n)
+        return np.array([digest(joined, 42)], np.uint64)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    n = len(found) - words + 1
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 without any."""
+    if not len(hashes):
+        return 0
     n_set = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):
         n_set += np.unpackbits(hashes[k : k + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * n_set > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
+def fingerprint(text: str, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
+
+
+def samples(hashes: np.ndarray) -> np.ndarray:
+    """A SimHash of the first few distinct shingles in each order; none for a text without words."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    distinct = np.unique(hashes)
+    keys = (distinct[None, :] ^ (np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+    keys ^= keys >> np.uint64(32)
+    take = min(SAMPLE, len(distinct))
+    first = distinct[np.argpartition(keys, take - 1, axis=1)[:, :take]]
+    # Hashes of one sample are mixed with its place among the orders, so samples of different orders don't meet.
+    return np.array([majority(f * np.uint64(2 * k + 1)) for k, f in enumerate(first)], np.uint64).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, sampled: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed 64-bit number; ``sampled`` adds samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            every = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
+            out = [batch.column(0), pa.array(np.array([majority(h) for h in every], np.uint64).view(np.int64))]
+            if sampled:
+                out.append(pa.array([samples(h) for h in every], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "samples"][: len(out)])
 
     small_arrow_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long" + (", samples array<long>" if sampled else ""))
 
 
 def levels_for(n: int) -> int:
@@ -191,22 +225,73 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(told)
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (signed), component_id (least id of the component), component_size."""
-    rows = materialized(fingerprints(docs, id_col, text_col, words), "fingerprints")
+def _clustered(rows: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp, component_id, component_size from doc_id and fp."""
     groups = materialized(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fp-groups")
     roots = components(links(groups, groups.count(), radius))
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
     known = materialized(named.join(lowest, "root").select("fp", "n", "component_id", "component_size"), "fp-components")
-    out = with_hot_rows_broadcast(rows, known, "fp", "n", rows.count())
+    out = with_hot_rows_broadcast(rows.select("doc_id", "fp"), known, "fp", "n", rows.count())
     return out.select("doc_id", "fp", "component_id", "component_size")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each component, with all their columns."""
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (signed), component_id (least id of the component), component_size."""
+    return _clustered(materialized(fingerprints(docs, id_col, text_col, words), "fingerprints"), radius)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """The pairs (a, b) of ids whose whole shingle sets are similar enough."""
+    ids = pairs.select(F.col("a").alias("_id")).unionAll(pairs.select("b")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    small_arrow_batches(docs.sparkSession)
+    known = materialized(texts.mapInArrow(sets, "id long, shingles binary"), "shingle-sets")
+    one = lambda to: known.select(F.col("id").alias(to), F.col("shingles").alias(f"of_{to}"))
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
+    """doc_id, component_id: components of links within the radius and of verified near copies. Rows without an id are in the
+    components of their fingerprints only; rows with one id are one document."""
+    rows = materialized(fingerprints(docs, id_col, text_col, words, sampled=True), "fingerprints")
+    near = materialized(_clustered(rows, radius).select("doc_id", "component_id"), "near")
+    release_shuffles(docs.sparkSession)
+    each = rows.where("doc_id is not null").select("doc_id", F.explode("samples").alias("s"))
+    groups = each.groupBy("s").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    met = with_hot_rows_broadcast(each, materialized(groups, "samples"), "s", "n", rows.count() * ORDERS)
+    pairs = met.where("b <> doc_id").select(F.col("doc_id").alias("a"), "b").distinct()
+    of = near.where("doc_id is not null").distinct()
+    apart = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb")), "b")
+    apart = materialized(apart.where("ca <> cb"), "candidates")
+    release_shuffles(docs.sparkSession)
+    found = _verified(docs, apart.select("a", "b").distinct(), id_col, text_col, words)
+    # Links of documents stand for links of their components.
+    edges = apart.join(found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = components(edges)
+    out = near.join(roots, F.col("component_id") == F.col("node"), "left")
+    return out.select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each component of ``similar``, with all their columns."""
     names = docs.columns
-    found = cluster(docs, id_col, text_col, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = similar(docs, id_col, text_col, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.select(F.col("doc_id").alias("_keep"), F.col("component_id").alias("_comp")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"))
     left = rows.join(kept.select("_keep"), F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")

@@ -83,3 +83,29 @@ def test_deduplicate(spark):
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids)) and {1, 4, 8, 9, 10} <= set(ids) and not {2, 3, 5, 6, None} & set(ids)
     assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts, near = [], set()
+    shared = " ".join(rng.choice(vocabulary, 60))
+    for i in range(150):
+        words = list(rng.choice(vocabulary, 200))
+        texts.append((10 * i, " ".join(words) + (" " + shared if i % 3 == 0 else "")))
+        for k in (1, 2):
+            edited = list(words)
+            for at in rng.choice(200, k, replace=False):
+                edited[at] = f"edit{i}x{k}x{at}"
+            texts.append((10 * i + k, " ".join(edited) + (" " + shared if i % 3 == 0 else "")))
+            near.add(10 * i + k)
+    out = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, texts)).collect()}
+    assert all(out[i] == i for i, _ in texts if i % 10 == 0)
+    assert sum(out[i] == i - i % 10 for i in near) >= 0.98 * len(near)
+    assert all(out[i] in (i, i - i % 10) for i in near)
+
+
+def test_verification_is_exact(spark):
+    docs = frame(spark, [(1, "a b c d e f g h i j k l m n"), (2, "a b c d e f g h i j k l m n o"), (3, "a b c d e f g x i j k l m n")])
+    pairs = spark.createDataFrame([(2, 1), (3, 1)], "a long, b long")
+    assert [tuple(r) for r in simhash._verified(docs, pairs, "doc_id", "text", 5).collect()] == [(2, 1)]
