@@ -93,11 +93,23 @@ def _tag(text: bytes) -> int:
     return xxhash.xxh32_intdigest(text)
 
 
-ANCHORS = "anchor long, ctx long, doc_id long, loc long, n int"
+ANCHORS = "anchor long, ctx long, doc_id long, loc long, n int, sure boolean"
+
+
+def _sure(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> np.ndarray:
+    """Contexts that equal one of an earlier place among those given."""
+    by = np.lexsort((loc, doc, ctx, key))
+    new = np.concatenate([[True], (np.diff(key[by]) != 0) | (np.diff(ctx[by]) != 0)])[: len(by)]
+    lead = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
+    out = np.zeros(len(by), bool)
+    out[by] = (doc[by] > doc[lead]) | ((doc[by] == doc[lead]) & (loc[by] >> 32 > loc[lead] >> 32))
+    return out
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """anchor, ctx (hash of the context), doc_id, loc (start * 2**32 + tag of the text) and n (windows) of every context."""
+    """anchor, ctx (hash of the context), doc_id, loc (start * 2**32 + tag of the text) and n (windows) of every context.
+    Repeats within a batch are settled at once (sure) and get keys of their own, so that a very common passage sends one row
+    for each batch to its anchor, and the rest spread evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -111,7 +123,12 @@ def anchored(docs: DataFrame) -> DataFrame:
             loc = ((first - starts[doc]) << 32) | tags[doc]
             key = np.fromiter((digest(data[a : a + GRAM]) for a in anchor.tolist()), np.uint64, len(anchor)).view(np.int64)
             ctx = np.fromiter((digest(data[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist())), np.uint64, len(anchor)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx), batch.column(0).take(pa.array(doc)), pa.array(loc), pa.array(n.astype(np.int32))], names=["anchor", "ctx", "doc_id", "loc", "n"])
+            ids = batch.column(0).take(pa.array(doc))
+            order = ids.fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
+            sure = _sure(key, ctx, order, loc)
+            own = (order.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ loc.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            key, ctx = np.where(sure, own.view(np.int64), key), np.where(sure, own.view(np.int64), ctx)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx), ids, pa.array(loc), pa.array(n.astype(np.int32)), pa.array(sure)], names=["anchor", "ctx", "doc_id", "loc", "n", "sure"])
 
     return docs.select("doc_id", "text").mapInArrow(run, ANCHORS)
 
@@ -309,8 +326,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.first(F.struct("doc_id", start)).over(equal).eqNullSafe(F.struct("doc_id", start)).alias("first"),
         F.coalesce(was["doc_id"].eqNullSafe(F.col("doc_id")) & (was["loc"] == F.col("loc")), F.lit(False)).alias("again"),
         (F.min("ctx").over(whole) != F.max("ctx").over(whole)).alias("mixed"),
-    ).where("not again and (not first or mixed)")
-    settled = materialized(told.select("anchor", "doc_id", "loc", "n", "first"), "repeats")
+    ).where("not again and (sure or not first or mixed)")
+    settled = materialized(told.select("anchor", "doc_id", "loc", "n", (F.col("first") & ~F.col("sure")).alias("first")), "repeats")
     needs = settled.where("first")
     hot = needs.groupBy("anchor").agg(F.count("*").alias("contexts"))
     hot = hot.where(F.col("contexts") > HOT_CONTEXTS).select("anchor", F.lit(True).alias("hot"))
