@@ -26,8 +26,8 @@ def _head(spec: StreamSpec) -> str:
     return f"{METRIC}{{interval={_quote(spec.interval_text)}{static},group_by_keys="
 
 
-def lines(counts: DataFrame, spec: StreamSpec, rejected: int = 0) -> DataFrame:
-    """line: the estimates (key, value) of one stream; grouped streams end with a summary and a limit line."""
+def lines(counts: DataFrame, spec: StreamSpec, rejected: int = 0, limit_metric: str = LIMIT_METRIC) -> DataFrame:
+    """line: the estimates (key, value) of one stream; grouped streams end with a summary and a limit line, whose metric can be named."""
     text = F.col("value").cast("string")
     if not spec.group_by:
         return counts.select(F.concat(F.lit(_head(spec) + '"__global__"} '), text).alias("line"))
@@ -35,5 +35,5 @@ def lines(counts: DataFrame, spec: StreamSpec, rejected: int = 0) -> DataFrame:
     keys = _quote(spec.keys_text)
     each = counts.select(F.concat(F.lit(f"{_head(spec)}{keys},group_by_values="), quoted(F.array_join("key", ",")), by, F.lit("} "), text).alias("line"))
     total = counts.agg((F.count("*") + rejected).alias("n")).select(F.concat(F.lit(f'{_head(spec)}"__group__",group_by_values={keys}}} '), F.col("n").cast("string")).alias("line"))
-    limit = counts.sparkSession.range(1).select(F.lit(f'{LIMIT_METRIC}{{interval={_quote(spec.interval_text)},group_by_keys="__group__",group_by_values={keys}}} {spec.group_limit}').alias("line"))
+    limit = counts.sparkSession.range(1).select(F.lit(f'{limit_metric}{{interval={_quote(spec.interval_text)},group_by_keys="__group__",group_by_values={keys}}} {spec.group_limit}').alias("line"))
     return each.unionAll(total).unionAll(limit)
