@@ -2,7 +2,8 @@
 
 Rules are conjunctions of thresholds on ratios of a text. Each is grown on two thirds of the labelled rows by the gain in
 information about the bad class, pruned on the other third, and kept only if it is right there often enough; rows that it
-covers go, and the next rule is grown on the rest. Learning reads a bounded sample of labelled rows (``MAX_LABELLED``, chosen
+covers go, and the next rule is grown on the rest. The base rule stands first in the list, so rows that it decides are not
+learned from. Learning reads a bounded sample of labelled rows (``MAX_LABELLED``, chosen
 by hash of the id over the whole label table); the statistics of every row, and the verdicts, are DataFrame expressions.
 
 Defined cases: a null text has no words and fails the base rule; a null id is kept as it is and never labelled; ids that
@@ -132,8 +133,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> list[Rule]:
     known = labelled_sample(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most)
     keyed = known.select(F.struct("doc_id", "_label").alias("key"), "text")
-    stats = with_stats(keyed, "key").select(F.col("doc_id")["doc_id"].alias("id"), F.col("doc_id")["_label"].alias("label"), *RATIOS)
-    found = stats.collect()
+    stats = with_stats(keyed, "key").select(F.col("doc_id")["doc_id"].alias("id"), F.col("doc_id")["_label"].alias("label"), base_failed().alias("failed"), *RATIOS)
+    found = [r for r in stats.collect() if not r["failed"]]
     rows = [{f: float(r[f]) for f in RATIOS} | {"bad": r["label"] == 0, "prune": r["id"] % 3 == 0} for r in sorted(found, key=lambda r: (r["id"], r["label"]))]
     return learn(rows)
 

@@ -75,3 +75,21 @@ def test_hot_group(spark):
     got = exact_dedup.classes(docs)
     assert got.where("group_size = 1000 and keep_id = 0").count() == 1000 and got.where("kept").count() == 2001
     assert got.agg(F.count("*")).first()[0] == 3000
+
+
+def test_rows_of_the_base_rule_teach_nothing(spark):
+    """Short texts with many marks are decided by the base rule; symbols alone part the rest, and are what is learned."""
+    rows = []
+    for i in range(240):
+        words = [f"word{(i * 7 + k) % 97}x{k}" for k in range(30)]
+        if i % 4 == 0:
+            rows.append((i, "what?! " * 5 + str(i), 0))
+        elif i % 4 == 1:
+            rows.append((i, " ".join(w + "%%" for w in words), 0))
+        else:
+            rows.append((i, " ".join(w + ("," if k % (2 + i % 9) == 0 else "") for k, w in enumerate(words)), 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    rules = quality_rules.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    kept = {r.doc_id for r in quality_rules.judged(df, rules).where("kept").collect()}
+    assert kept == {i for i, _, q in rows if q}
+    assert len(rules) == 1
