@@ -12,6 +12,9 @@ from ..plans.spec import StreamSpec
 from .series import grouped
 from .windows import generation
 
+#: Parts in which the earliest groups of a generation are looked for before the generation as a whole is.
+PARTS = 256
+
 
 def first_seen(series: DataFrame, keys: Sequence[str], half_us: int | None = None) -> DataFrame:
     """gen, key, first_seen: groups with their first arrival; one generation (0) without a half interval."""
@@ -39,12 +42,23 @@ def summary(series: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return n.select(live.alias("live"), (F.col("n") - live).alias("rejected"), F.col("n").alias("group_count"), F.lit(limit).cast("long").alias("group_limit"))
 
 
+def earliest(groups: DataFrame, limit: int) -> DataFrame:
+    """The keys that are among the first ``limit`` to arrive in some generation. Parts of a generation send their own first
+    ones only, so no task ranks all groups."""
+    order = ("first_seen", "key")
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    ranked = groups.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy("gen", "part").orderBy(*order))).where(F.col("place") <= limit)
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("gen").orderBy(*order))).where(F.col("place") <= limit).select("key").distinct()
+
+
 def admissions(groups: DataFrame, limit: int) -> DataFrame:
     """gen, key, first_seen, admitted over many generations. Groups admitted in the generation before come back unchecked;
     new ones take the slots that it left free, in order of arrival.
 
-    The rule is sequential, but needs only the keys admitted last and now, which the limit bounds: sorted rows stream
-    through one pass.
+    A key enters only from among the first ``limit`` of a generation: at most as many keys stand before it as were admitted
+    last (and came back) or now. So a key that is never that early is never admitted, and takes no slot from others. The
+    rule is sequential, and needs the keys admitted last and now; only rows of early keys go through its one pass, at most
+    ``limit`` new keys for each generation, however many groups there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +80,11 @@ def admissions(groups: DataFrame, limit: int) -> DataFrame:
                 said.append(ok)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.bool_())], names=[*batch.schema.names, "admitted"])
 
-    ordered = groups.select("gen", "key", "first_seen").repartition(1).sortWithinPartitions("gen", "first_seen", "key")
-    return ordered.mapInArrow(run, "gen long, key array<string>, first_seen long, admitted boolean")
+    rows, early = groups.select("gen", "key", "first_seen"), earliest(groups, limit)
+    ordered = rows.join(early, "key", "left_semi").select("gen", "key", "first_seen").repartition(1).sortWithinPartitions("gen", "first_seen", "key")
+    told = ordered.mapInArrow(run, "gen long, key array<string>, first_seen long, admitted boolean")
+    never = rows.join(early, "key", "left_anti").select("gen", "key", "first_seen", F.lit(False).alias("admitted"))
+    return told.unionAll(never)
 
 
 def limited_windows(series: DataFrame, spec: StreamSpec) -> DataFrame:

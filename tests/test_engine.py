@@ -156,6 +156,29 @@ def test_limit_against_a_model(spark):
             assert got.get(gen, {}) == shown and (history[gen].live, history[gen].rejected) == (live, rejected)
 
 
+def test_admissions_read_early_keys_only(spark):
+    """Against one pass over all groups, on traces with many more groups than slots."""
+    rng, rows = random.Random(11), []
+    for gen in (0, 1, 2, 4, 5):
+        keys = rng.sample(range(60), 40)
+        rows += [(gen, [f"k{k}"], gen * 100 + i // 2) for i, k in enumerate(keys)]
+    groups = spark.createDataFrame(rows, "gen long, key array<string>, first_seen long")
+    for most in (1, 3, 17, 100):
+        want, before, last = set(), set(), None
+        for gen in (0, 1, 2, 4, 5):
+            before = before if last == gen - 1 else set()
+            free, now, last = most - len(before), set(), gen
+            for _, key, seen in sorted((r for r in rows if r[0] == gen), key=lambda r: (r[2], r[1])):
+                ok = key[0] in before or free > 0
+                free -= key[0] not in before and ok
+                now |= {key[0]} if ok else set()
+                want.add((gen, key[0], seen, ok))
+            before = now
+        got = [(r.gen, r.key[0], r.first_seen, r.admitted) for r in limit.admissions(groups, most).collect()]
+        assert len(got) == len(rows) and set(got) == want
+        assert limit.earliest(groups, most).count() <= 5 * most
+
+
 def test_streams_share_a_scan(spark):
     df = at(spark, cross(2, 3, 4))
     specs = [StreamSpec(), StreamSpec(group_by=("foo",)), StreamSpec(group_by=("bar", "foo")), StreamSpec(group_by=("nope",))]
