@@ -21,8 +21,9 @@ all), and a candidate links if the whole shingle sets have a Jaccard similarity
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; with fewer words
 than a shingle takes, all words are the one shingle; null ids are in components like others, but never name one unless no
-member has an id; repeated rows are members; an empty table gives an empty result; ``deduplicate`` passes further columns
-through.
+member has an id; repeated rows are members; different texts under one id, or without one, are documents of their own (the
+near-copy stage knows a text by its 64-bit hash, not by its id); an empty table gives an empty result; ``deduplicate``
+passes further columns through.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialized, release_shuffles, small_arrow_batches, text_of, with_hot_rows_broadcast
@@ -91,19 +92,24 @@ def samples(hashes: np.ndarray) -> np.ndarray:
     return np.array([majority(f * np.uint64(2 * k + 1)) for k, f in enumerate(first)], np.uint64).view(np.int64)
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_of(text_col))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, sampled: bool = False) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number; ``sampled`` adds samples."""
+    """doc_id and fp, the fingerprint as a signed 64-bit number; ``sampled`` adds h, the hash of the text, and samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
             out = [batch.column(0), pa.array(np.array([majority(h) for h in every], np.uint64).view(np.int64))]
             if sampled:
-                out.append(pa.array([samples(h) for h in every], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "samples"][: len(out)])
+                out += [batch.column(2), pa.array([samples(h) for h in every], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "h", "samples"][: len(out)])
 
     small_arrow_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long" + (", samples array<long>" if sampled else ""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *([text_hash(text_col).alias("h")] if sampled else []))
+    return texts.mapInArrow(run, "doc_id long, fp long" + (", h long, samples array<long>" if sampled else ""))
 
 
 def levels_for(n: int) -> int:
@@ -226,25 +232,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _clustered(rows: DataFrame, radius: int) -> DataFrame:
-    """doc_id, fp, component_id, component_size from doc_id and fp."""
+    """The rows (doc_id, fp and further columns) with root (a fingerprint that names the component), component_id, component_size."""
     groups = materialized(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fp-groups")
     roots = components(links(groups, groups.count(), radius))
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
-    known = materialized(named.join(lowest, "root").select("fp", "n", "component_id", "component_size"), "fp-components")
-    out = with_hot_rows_broadcast(rows.select("doc_id", "fp"), known, "fp", "n", rows.count())
-    return out.select("doc_id", "fp", "component_id", "component_size")
+    known = materialized(named.join(lowest, "root").select("fp", "n", "root", "component_id", "component_size"), "fp-components")
+    return with_hot_rows_broadcast(rows, known, "fp", "n", rows.count()).drop("n")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed), component_id (least id of the component), component_size."""
-    return _clustered(materialized(fingerprints(docs, id_col, text_col, words), "fingerprints"), radius)
+    return _clustered(materialized(fingerprints(docs, id_col, text_col, words), "fingerprints"), radius).select("doc_id", "fp", "component_id", "component_size")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("_id")).unionAll(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,34 +271,46 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long").distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
-    """doc_id, component_id: components of links within the radius and of verified near copies. Rows without an id are in the
-    components of their fingerprints only; rows with one id are one document."""
-    rows = materialized(fingerprints(docs, id_col, text_col, words, sampled=True), "fingerprints")
-    near = materialized(_clustered(rows, radius).select("doc_id", "component_id"), "near")
-    release_shuffles(docs.sparkSession)
-    each = rows.where("doc_id is not null").select("doc_id", F.explode("samples").alias("s"))
-    groups = each.groupBy("s").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    met = with_hot_rows_broadcast(each, materialized(groups, "samples"), "s", "n", rows.count() * ORDERS)
-    pairs = met.where("b <> doc_id").select(F.col("doc_id").alias("a"), "b").distinct()
-    of = near.where("doc_id is not null").distinct()
-    apart = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb")), "b")
+def _linked(docs: DataFrame, near: DataFrame, pairs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``near`` with roots joined along those candidates (a, b: hashes of texts) that are similar enough."""
+    of = near.select("h", "root").distinct()
+    apart = pairs.join(of.select(F.col("h").alias("a"), F.col("root").alias("ca")), "a").join(of.select(F.col("h").alias("b"), F.col("root").alias("cb")), "b")
     apart = materialized(apart.where("ca <> cb"), "candidates")
     release_shuffles(docs.sparkSession)
-    found = _verified(docs, apart.select("a", "b").distinct(), id_col, text_col, words)
+    texts = docs.select(text_hash(text_col).alias("h"), text_of(text_col).alias("text"))
+    found = _verified(texts, apart.select("a", "b").distinct(), "h", "text", words)
     # Links of documents stand for links of their components.
     edges = apart.join(found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    roots = components(edges)
-    out = near.join(roots, F.col("component_id") == F.col("node"), "left")
-    return out.select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    roots = components(edges).select("node", F.col("root").alias("_to"))
+    out = near.join(roots, F.col("root") == F.col("node"), "left")
+    return materialized(out.select("doc_id", "h", F.coalesce("_to", "root").alias("root")), "near")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> DataFrame:
+    """doc_id, h (hash of the text), root: one row per row of ``docs``; rows of one component have one root."""
+    rows = materialized(fingerprints(docs, id_col, text_col, words, sampled=True), "fingerprints")
+    near = materialized(_clustered(rows.drop("samples"), radius).select("doc_id", "h", "root"), "near")
+    release_shuffles(docs.sparkSession)
+    each = rows.select("h", F.explode("samples").alias("s"))
+    groups = each.groupBy("s").agg(F.min("h").alias("b"), F.max("h").alias("last"), F.count("*").alias("n")).where("b < last").drop("last")
+    met = with_hot_rows_broadcast(each, materialized(groups, "samples"), "s", "n", rows.count() * ORDERS)
+    return _linked(docs, near, met.where("b <> h").select(F.col("h").alias("a"), "b").distinct(), text_col, words)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
+    """doc_id, component_id: components of links within the radius and of verified near copies."""
+    rows = _joined(docs, id_col, text_col, words, radius)
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    return with_hot_rows_broadcast(rows, materialized(named, "names"), "root", "n", rows.count()).select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each component of ``similar``, with all their columns."""
+    """The rows of ``docs`` that stay, one for each component of ``similar``, with all their columns: that with the least id (no
+    id only where none has one), of several texts under that id the one whose hash is least."""
     names = docs.columns
-    found = similar(docs, id_col, text_col, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("_keep"), F.col("component_id").alias("_comp")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"))
-    left = rows.join(kept.select("_keep"), F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.length(f"_row.`{text_col}`"), f"_row.`{text_col}`"))
-    return left.withColumn("_n", first).where("_n = 1").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k")
+    kept = _joined(docs, id_col, text_col, words, radius).groupBy("root").agg(first).select(F.col("k.doc_id").alias("_keep"), F.col("k.h").alias("_of"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"), text_hash(text_col).alias("_text"))
+    left = rows.join(kept, F.col("_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_of")), "left_semi")
+    once = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.length(f"_row.`{text_col}`"), f"_row.`{text_col}`"))
+    return left.withColumn("_n", once).where("_n = 1").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])

@@ -109,3 +109,12 @@ def test_verification_is_exact(spark):
     docs = frame(spark, [(1, "a b c d e f g h i j k l m n"), (2, "a b c d e f g h i j k l m n o"), (3, "a b c d e f g x i j k l m n")])
     pairs = spark.createDataFrame([(2, 1), (3, 1)], "a long, b long")
     assert [tuple(r) for r in simhash._verified(docs, pairs, "doc_id", "text", 5).collect()] == [(2, 1)]
+
+
+def test_texts_without_or_under_one_id_are_documents_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"v{w}" for w in rng.integers(0, 5000, 80)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[6:9]] + [(8, texts[9]), (None, texts[9]), (None, texts[0]), (9, texts[1] + " more"), (10, texts[10])]
+    out = [(r.doc_id, r.text) for r in simhash.deduplicate(frame(spark, rows)).collect()]
+    want = [(None, t) for t in (texts[0], *texts[2:6])] + [(7, t) for t in texts[6:9]] + [(8, texts[9]), (9, texts[1] + " more"), (10, texts[10])]
+    assert Counter(out) == Counter(want)
