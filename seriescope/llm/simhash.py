@@ -15,9 +15,13 @@ returns more rows than it has. Components of all forests are found by rounds of
 Equal fingerprints are merged before the search, so a group of copies of any size is one query.
 
 Near copies. Two texts that share 80 % of their shingles differ in about ten of 64 bits, a radius at which no bound prunes.
-``similar`` therefore also takes SimHashes of samples: for each of several orders of the hashes, of the first few distinct
-shingles in that order. Texts that share a sample are candidates, each with the least id of its sample group (never all with
-all), and a candidate links if the whole shingle sets have a Jaccard similarity of ``SIMILARITY`` or more.
+``similar`` therefore also links texts whose whole shingle sets have a Jaccard similarity of ``SIMILARITY`` or more, in two
+steps. First texts that share a SimHash of sampled shingles are compared with the least text of their sample group, which
+joins most of a large group of copies without comparing all with all. Then an exact prefix filter finds what is left: in any
+one order of all shingles, two sets that similar share one of their first n - ceil(SIMILARITY * n) + 1 shingles. The order
+puts shingles that are common in a sample of the texts last, which only saves candidates. Texts of different components that
+share a shingle of their prefixes are compared, unless their sizes, the places of the shingle, or the number of odd bits in
+which they differ (``PARITY``, never more than the shingles in which they differ) exclude the similarity.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; with fewer words
 than a shingle takes, all words are the one shingle; null ids are in components like others, but never name one unless no
@@ -42,9 +46,10 @@ VANTAGE = 0x9E3779B97F4A7C15
 SHARD_ROWS, LEAF_ROWS = 250_000, 4_000
 #: Queries compared with the stored fingerprints of a leaf at once.
 BLOCK = 1_024
-#: Least similarity of near copies; orders of shingles, and shingles of a sample: at similarity 0.8 a pair shares some sample
-#: with probability 0.98, at 0.9 with over 0.9999.
+#: Least similarity of near copies; orders of shingles, and shingles of a sample, for the first step only: it may miss any pair.
 SIMILARITY, ORDERS, SAMPLE = 0.8, 8, 4
+#: Texts that common shingles are counted in; the most of these; how often one must be met. Bits of a set's parity.
+COUNTED, COMMON, OFTEN, PARITY = 20_000, 200_000, 3, 1_024
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -246,6 +251,67 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return _clustered(materialized(fingerprints(docs, id_col, text_col, words), "fingerprints"), radius).select("doc_id", "fp", "component_id", "component_size")
 
 
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the order of all, of which similar sets share one, and the size of the set. ``common``
+    (sorted) come last, by their counts; others are in the order of their hashes."""
+    x = np.unique(hashes)
+    n = len(x)
+    take = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1 if n else 0
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+        x = x[np.argsort(np.where(common[at] == x, counts[at], 0), kind="stable")]
+    return x[:take], n
+
+
+def common_shingles(texts: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles often met in a sample of the texts (h, text) of bounded size, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *made]).view(np.int64))], names=["t"])
+
+    some = texts.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1, COUNTED / max(1, n))))).select("text")
+    met = some.mapInArrow(run, "t long").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    top = met.orderBy(F.desc("n"), "t").limit(COMMON).toArrow()
+    t, counts = top.column("t").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(t)
+    return t[order], counts[order]
+
+
+def _prefix_pairs(docs: DataFrame, near: DataFrame, text_col: str, words: int) -> DataFrame:
+    """Pairs (a, b) of hashes of texts in different components: every pair that may be similar enough."""
+    texts = docs.select(text_hash(text_col).alias("h"), text_of(text_col).alias("text"))
+    small_arrow_batches(docs.sparkSession)
+    common, counts = common_shingles(texts, near.count(), words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [prefix(shingle_hashes(t.as_py(), words), common, counts) for t in batch.column(1)]
+            lengths = [len(x) for x, _ in made]
+            out = [
+                np.concatenate([np.empty(0, np.uint64), *[x for x, _ in made]]).view(np.int64), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths),
+                np.repeat(np.array([n for _, n in made], np.int32), lengths), np.concatenate([np.empty(0, np.int32), *[np.arange(k, dtype=np.int32) for k in lengths]]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["t", "h", "n", "i"])
+
+    def shared(rows: DataFrame, by: str) -> DataFrame:
+        """The rows whose shingle is met with different ``by``."""
+        all_of = Window.partitionBy("t")
+        return rows.withColumn("_lo", F.min(by).over(all_of)).withColumn("_hi", F.max(by).over(all_of)).where("_lo <> _hi").drop("_lo", "_hi")
+
+    met = materialized(shared(texts.mapInArrow(run, "t long, h long, n int, i int"), "h"), "prefixes")
+    release_shuffles(docs.sparkSession)
+    rows = materialized(shared(met.distinct().join(near.select("h", "root").distinct(), "h"), "root"), "prefixes-apart")
+    release_shuffles(docs.sparkSession)
+    one = lambda to: rows.select("t", *[F.col(c).alias(f"{c}_{to}") for c in ("h", "root", "n", "i")])
+    size = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-6
+    # Holds at the first shingle that a similar pair has in common: it and what stands behind it must be overlap enough.
+    place = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    pairs = one("a").join(one("b"), "t").where((F.col("root_a") < F.col("root_b")) & size & place)
+    return pairs.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("_id")).unionAll(pairs.select("b")).distinct()
@@ -253,8 +319,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
+            made = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
+            odd = [np.packbits(np.bincount((x % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes() for x in made]
+            out = [batch.column(0), pa.array([x.tobytes() for x in made], pa.binary()), pa.array(odd, pa.binary()), pa.array([len(x) for x in made], pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "shingles", "odd", "size"])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARITY // 8) for c in ("odd_a", "odd_b"))
+            sizes = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            ok = np.bitwise_count(x ^ y).sum(axis=1) <= (1 - SIMILARITY) / (1 + SIMILARITY) * sizes + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,9 +341,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     small_arrow_batches(docs.sparkSession)
-    known = materialized(texts.mapInArrow(sets, "id long, shingles binary"), "shingle-sets")
+    known = materialized(texts.mapInArrow(sets, "id long, shingles binary, odd binary, size int"), "shingle-sets")
+    bits = lambda to: known.select(F.col("id").alias(to), F.col("odd").alias(f"odd_{to}"), F.col("size").alias(f"size_{to}"))
+    left = pairs.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "odd_a", "odd_b", "size_a", "size_b").mapInArrow(likely, "a long, b long")
+    left = materialized(left, "likely")
     one = lambda to: known.select(F.col("id").alias(to), F.col("shingles").alias(f"of_{to}"))
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long").distinct()
+    return left.join(one("a"), "a").join(one("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _linked(docs: DataFrame, near: DataFrame, pairs: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -294,7 +372,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int
     each = rows.select("h", F.explode("samples").alias("s"))
     groups = each.groupBy("s").agg(F.min("h").alias("b"), F.max("h").alias("last"), F.count("*").alias("n")).where("b < last").drop("last")
     met = with_hot_rows_broadcast(each, materialized(groups, "samples"), "s", "n", rows.count() * ORDERS)
-    return _linked(docs, near, met.where("b <> h").select(F.col("h").alias("a"), "b").distinct(), text_col, words)
+    near = _linked(docs, near, met.where("b <> h").select(F.col("h").alias("a"), "b").distinct(), text_col, words)
+    release_shuffles(docs.sparkSession)
+    return _linked(docs, near, _prefix_pairs(docs, near, text_col, words), text_col, words)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:

@@ -118,3 +118,34 @@ def test_texts_without_or_under_one_id_are_documents_of_their_own(spark):
     out = [(r.doc_id, r.text) for r in simhash.deduplicate(frame(spark, rows)).collect()]
     want = [(None, t) for t in (texts[0], *texts[2:6])] + [(7, t) for t in texts[6:9]] + [(8, texts[9]), (9, texts[1] + " more"), (10, texts[10])]
     assert Counter(out) == Counter(want)
+
+
+def brute_classes(texts, words=5):
+    """Classes of the places of texts by links of the stage: fingerprints within the radius, or similar shingle sets."""
+    hashes = [simhash.shingle_hashes(t or "", words) for t in texts]
+    fps, sets = [simhash.majority(h) for h in hashes], [set(h.tolist()) for h in hashes]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or both and both >= simhash.SIMILARITY * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def family(rng, size=60, pairs=20, shared=164, own=36):
+    """Texts on one template, far from each other but for some pairs that are just similar enough."""
+    template = " ".join(f"t{w}" for w in rng.integers(0, 10**6, shared))
+    tails = [[f"u{w}" for w in rng.integers(0, 10**6, own)] for _ in range(size)]
+    for k in range(pairs):
+        tails[size - 1 - k] = tails[k][: own // 2] + tails[size - 1 - k][own // 2 :]
+    return [template + " " + " ".join(t) for t in tails]
+
+
+def test_pairs_inside_a_template_family_are_all_found(spark):
+    texts = family(np.random.default_rng(8))
+    out = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(texts)))).collect()}
+    want = brute_classes(texts)
+    assert 20 <= len(texts) - len(set(want)) < 30
+    assert [out[i] for i in range(len(texts))] == want
