@@ -38,10 +38,19 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("reserved", "All rights reserved."),
     ("reserved", "All rights reserved. No part of this publication may be reproduced without prior permission of the publisher."),
 )
 #: Words of a k-gram; diagonals this close are merged; the least share of a template's k-grams in a verified span.
 GRAM, BAND, COVERAGE = 3, 3, 0.7
+#: Templates of up to so many k-grams must be found whole: one word more or less makes them another licence (BY and BY-NC, 2.0 and 2.1).
+SHORT = 8
 
 
 def lowered(text: Column) -> Column:
@@ -80,7 +89,7 @@ def spans(found: DataFrame) -> DataFrame:
     gap = (F.abs(F.col("diagonal") - F.lag("diagonal").over(near)) > BAND) | (F.col("first") > F.lag("last").over(near) + F.col("grams"))
     merged = votes.withColumn("group", F.sum(F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).over(near))
     whole = merged.groupBy("doc_id", "template", "label", "grams", "group").agg(F.min("first").alias("first"), F.max("last").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("cells")))).alias("seen"))
-    return whole.select("doc_id", "label", "first", (F.col("end") + GRAM - 1).alias("last"), (F.col("seen") / F.col("grams")).alias("coverage")).where(F.col("coverage") >= COVERAGE)
+    return whole.select("doc_id", "label", "first", (F.col("end") + GRAM - 1).alias("last"), (F.col("seen") / F.col("grams")).alias("coverage"), "seen", "grams").where(F.col("seen") >= F.when(F.col("grams") <= SHORT, F.col("grams")).otherwise(COVERAGE * F.col("grams"))).drop("seen", "grams")
 
 
 def _phrases(words: Column) -> Column:

@@ -67,3 +67,15 @@ def test_licenses_against_brute_force(spark):
     assert labels[17][0] == "cc-by,gpl,mit,reserved" and labels[17][1] == 1.0
     assert labels[1] == ("", 0.0) and "gpl" in labels[31][0] and labels[31][1] > 0.8
     assert license_scan.scan(frame(spark, [])).count() == 0
+
+
+def test_each_short_notice_is_found_and_no_other(spark):
+    notices = [
+        ("Licensed under the Apache License, Version 2.0.", "apache-2.0", 1.0), ("Licensed under the Apache License, Version 2.1.", "", 0.0), ("Licensed under CC BY 4.0.", "cc-by", 1.0),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0", 1.0), ("This work is licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0", 1.0), ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa-4.0", 1.0),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by,cc-by-nc-sa-4.0", 1.0), ("Licensed under CC BY-NC-ND 4.0.", "cc-by,cc-by-nc-nd-4.0", 1.0), ("Licensed under CC BY-NC 3.0.", "cc-by", 0.5), ("All rights reserved.", "reserved", 1.0),
+        ("Released under the MIT License.", "mit", 1.0),
+    ]
+    rows = [(i, f"{PROSE}\n{text}\n{PROSE}") for i, (text, _, _) in enumerate(notices)]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert got == {i: (labels, score) for i, (_, labels, score) in enumerate(notices)}
