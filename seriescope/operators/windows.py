@@ -35,14 +35,15 @@ def windowed(series: DataFrame, spec: StreamSpec) -> DataFrame:
 
 
 def windowed_sketches(series: DataFrame, spec: StreamSpec) -> DataFrame:
-    """key, gen, value (exact), within_bound. One sketch per key and generation, joined with the one before by a range frame."""
+    """key, gen, value (exact), within_bound, live (seen in this generation itself). One sketch per key and generation, which
+    counts in its own generation and the next, as sightings do."""
     rows = grouped(series, spec.group_by, "ts").select("key", "fp", generation(F.col("ts"), spec.half_us).alias("gen"))
-    sketches = rows.groupBy("key", "gen").agg(F.hll_sketch_agg("fp", spec.hll_precision).alias("sketch"))
-    two = Window.partitionBy("key").orderBy("gen").rangeBetween(-1, 0)
-    estimates = sketches.select("key", "gen", F.hll_sketch_estimate(F.hll_union_agg("sketch").over(two)).alias("estimate"))
-    exact = rows.distinct().withColumn("gen", F.explode(F.array(F.col("gen"), F.col("gen") + 1))).groupBy("key", "gen").agg(F.count_distinct("fp").alias("value"))
-    both = exact.join(estimates, ["key", "gen"])
-    return both.select("key", "gen", "value", (F.abs(F.col("estimate") - F.col("value")) <= error_bound(spec.hll_precision, F.col("value"))).alias("within_bound"))
+    both = F.explode(F.array(F.col("gen"), F.col("gen") + 1))
+    sketches = rows.groupBy("key", "gen").agg(F.hll_sketch_agg("fp", spec.hll_precision).alias("sketch")).select("key", F.col("gen").alias("own"), "sketch", both.alias("gen"))
+    estimates = sketches.groupBy("key", "gen").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"), (F.max("own") == F.col("gen")).alias("live"))
+    exact = rows.distinct().withColumn("gen", both).groupBy("key", "gen").agg(F.count_distinct("fp").alias("value"))
+    within = F.abs(F.col("estimate") - F.col("value")) <= error_bound(spec.hll_precision, F.col("value"))
+    return exact.join(estimates, ["key", "gen"]).select("key", "gen", "value", within.alias("within_bound"), "live")
 
 
 def as_of(series: DataFrame, spec: StreamSpec, us: int, reset_us: int | None = None, bucket: Column | None = None) -> DataFrame:

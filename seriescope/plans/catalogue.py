@@ -173,7 +173,8 @@ def node_merge_groups(spark, sf_dir):
 
 
 def windowed_sketch_union(spark, sf_dir):
-    return flat(windows.windowed_sketches(_events(spark, sf_dir), DAY), NAME)
+    # The SQL asks for the generations in which a group was seen; the operator has the one after it, too.
+    return flat(windows.windowed_sketches(_events(spark, sf_dir), DAY).where("live").drop("live"), NAME)
 
 
 def churn_pct_global(spark, sf_dir):

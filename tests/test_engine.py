@@ -249,3 +249,14 @@ def test_cached_result(spark):
     now[0] = 31
     assert cached.get() and len(made) == 2
     assert flat(estimate.cardinality(at(spark, cross(1, 1, 1)), ("foo",)), ("foo",)).columns == ["by_foo", "value"]
+
+
+def test_windowed_sketches_have_the_last_window_of_each_group(spark):
+    spec = StreamSpec(interval="2m", group_by=("foo",))
+    rows = cross(3, 0, 4, minute=0) + cross(2, 0, 5, minute=1) + cross(1, 0, 2, seed="new", minute=5)
+    got = {(tuple(r.key), r.gen): (r.value, r.within_bound, r.live) for r in windows.windowed_sketches(at(spark, rows), spec).collect()}
+    first = min(g for _, g in got)
+    assert {(k[0], g - first): v[::2] for (k, g), v in got.items()} == {
+        ("0", 0): (4, True), ("1", 0): (4, True), ("2", 0): (4, True), ("0", 1): (5, True), ("1", 1): (5, True), ("2", 1): (4, False), ("0", 2): (5, False), ("1", 2): (5, False), ("new0", 5): (2, True), ("new0", 6): (2, False),
+    }
+    assert all(v[1] for v in got.values())
