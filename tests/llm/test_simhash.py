@@ -149,3 +149,12 @@ def test_pairs_inside_a_template_family_are_all_found(spark):
     want = brute_classes(texts)
     assert 20 <= len(texts) - len(set(want)) < 30
     assert [out[i] for i in range(len(texts))] == want
+
+
+def test_short_pairs_at_the_least_similarity_are_all_found(spark):
+    texts = []
+    for k in range(120):  # 5 distinct shingles, or 4 of them: a similarity of 0.8 exactly
+        words = [f"s{k}x{i}" for i in range(9)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    out = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(texts)))).collect()}
+    assert all(out[i] == i - i % 2 for i in range(len(texts)))
