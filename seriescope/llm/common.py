@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,34 +47,79 @@ def doc_fold(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Taken from the session; a temporary one is set only where none is named (local tests)."""
+    """The folder that driver and executors share, as the session names it. Where it names none, local mode gets a temporary
+    one (there a local folder is shared); on a cluster that is an error, as each machine would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="seriescope-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and survives lost executors."""
+@contextmanager
+def session_conf(spark: SparkSession, **settings: object) -> Iterator[None]:
+    """Settings of the session for as long as a job runs (``__`` stands for a dot); what was set before comes back."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def materialized(df: DataFrame, label: str, arrow_rows: int = ARROW_ROWS, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and survives lost executors.
+
+    While it is written, a batch handed to Python has ``arrow_rows`` rows at most (a row may be a long text), and when it is
+    written the shuffles behind it give their disk back. ``discard`` removes the folder.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the bytes of a batch of texts that a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Give back the disk of shuffles whose results are written. Spark drops their files when the JVM has collected the last
-    mention of them; the first collection finds only the plans, so a second follows."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=arrow_rows, spark__sql__classic__shuffleDependency__fileCleanup__enabled=True):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of materialised tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Rows (a column that names them, text) in groups of ``size`` bytes or somewhat more: the names, the texts' bytes one after
+    the other, and where each text begins."""
+
+    def joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        names, texts = (rows.column(k).chunk(0) for k in (0, 1))
+        wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        offsets = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        return names, data, (offsets - offsets[0])[:-1]
+
+    held, have = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            have += batch.column(1).nbytes
+        if have >= size:
+            yield joined(held)
+            held, have = [], 0
+    if held:
+        yield joined(held)
 
 
 def with_hot_rows_broadcast(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
@@ -88,3 +136,13 @@ def with_hot_rows_broadcast(left: DataFrame, right: DataFrame, key: str, weight:
     salted = first.withColumn("_jk", F.when(F.col("_hk").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("#"), F.rand(7).cast("string"))))
     joined = salted.join(cold, F.col("_jk") == F.col("_ck"), "left").withColumn("_r", F.coalesce("_hot", "_cold"))
     return joined.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Bound the bytes of a batch of texts that a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Give back the disk of shuffles whose results are written."""
+    spark.sparkContext._jvm.System.gc()

@@ -7,8 +7,8 @@ the next round, where pieces of such groups are exchanged (dealt into new groups
 every bin stays.
 
 Defined cases: a null text is empty and is the one id that ends a document; null and repeated ids are kept, each row being
-packed for itself (rows with one id are told apart by nothing but their place); an empty table gives an empty result;
-further columns are not read.
+packed for itself (pieces are known by a number of their own, so rows without an id spread like others); an empty table
+gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -18,29 +18,78 @@ import re
 import sys
 import types
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized, small_arrow_batches, text_of
+from .common import discard, gathered, materialized, text_of
 
 CAPACITY = 2048
 #: Pieces of a group (a task packs one group at a time), and rounds of exchange after the first packing.
 GROUP_PIECES, ROUNDS = 60_000, 3
-#: About so many chunks between white space, and parts of them, whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Units whose ids a worker remembers at most; bytes of texts that are encoded at once; units handed to the tokenizer as one text.
+REMEMBERED, BATCH_BYTES, TOGETHER = 1_000_000, 4 << 20, 1_024
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "nr long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
-
-#: How the tokenizer must cut texts for ids to be put together from chunks: parts never reach over white space.
+#: How the tokenizer must cut texts for ids to be put together from units: parts never reach over white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same for lower-case ASCII without controls.
-PARTS = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+
+
+def _classes() -> np.ndarray:
+    """The class of each byte that is a character by itself; all others, and controls, are OTHER."""
+    out = np.full(256, OTHER, np.uint8)
+    out[33:127] = MARK
+    for first, last, kind in (("a", "z", LETTER), ("A", "Z", LETTER), ("0", "9", DIGIT), ("\t", "\r", SPACE), (" ", " ", SPACE)):
+        out[ord(first) : ord(last) + 1] = kind
+    return out
+
+
+CLASS = _classes()
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+
+
+def units(b: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cut the texts b[begins[0]:begins[1]], ... into units that are tokenized apart from each other.
+
+    A unit is a run of letters, a digit or a run of marks between white space. A chunk between white space that has anything
+    else in it (a character beyond Latin letters, an apostrophe before a letter, the opening of a special token) is one unit.
+    Returns start and length of each unit, their bytes one after the other (A-Z lowered), and whether each is such a chunk.
+    """
+    kind = CLASS[b]
+    after = np.append(b[1:], np.uint8(32))
+    # U+00C0 to U+027F are letters, but for the two signs among them and the I with dot, which lowers to two characters.
+    latin = (b >= 0xC3) & (b <= 0xC9) & (after >= 0x80) & (after <= 0xBF)
+    latin &= ~(((b == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((b == 0xC4) & (after == 0xB0)))
+    lead = np.flatnonzero(latin)
+    kind[lead] = LETTER
+    kind[lead + 1] = LETTER
+    inside = kind != SPACE
+    first = np.append(True, ~inside[:-1])[: len(b)]
+    first[begins[begins < len(b)]] = True
+    first &= inside
+    odd = (kind == OTHER) | ((b == 39) & (np.append(kind[1:], SPACE) == LETTER)) | ((b == 60) & (after == 124))
+    chunk = np.flatnonzero(first)
+    whole = np.zeros(len(chunk), bool)
+    whole[np.searchsorted(chunk, np.flatnonzero(odd & inside), side="right") - 1] = True
+    cut = np.append(True, kind[1:] != kind[:-1])[: len(b)] | (kind == DIGIT) | first
+    at = np.flatnonzero(cut & inside)
+    of = np.cumsum(first[at]) - 1
+    keep = first[at] | ~whole[of]
+    at, of = at[keep], of[keep]
+    last = np.flatnonzero(inside & ~np.append(inside[1:] & ~first[1:], False)[: len(b)]) + 1
+    size = np.minimum(np.append(at[1:], len(b)), last[of]) - at
+    low = LOWERED[b]
+    for c in np.unique(of[whole[of]][[b"<|" in b[x : x + n].tobytes() for x, n in zip(at[whole[of]].tolist(), size[whole[of]].tolist())]]) if whole.any() else ():
+        low[chunk[c] : last[c]] = b[chunk[c] : last[c]]  # special tokens are told by their case
+    return at, size, low[inside], whole[of]
 
 
 def _kept_by_worker(name: str, make):
@@ -50,19 +99,29 @@ def _kept_by_worker(name: str, make):
 
 
 class Encoder:
-    """Ids of whole texts, as bytes of unsigned 32-bit numbers.
+    """Ids of whole texts.
 
-    Where the tokenizer splits at white space and into the parts of ``SPLIT``, the ids of a text are those of its chunks
-    between white space, and the ids of a plain chunk those of its parts; both are remembered. Any other tokenizer encodes
-    whole texts.
+    Where the tokenizer splits at white space and into the parts of ``SPLIT``, the ids of a text are those of its units, and
+    each distinct unit is encoded once, for as long as there is room to remember it. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunks, self.parts = Tokenizer.from_file(path), {}, {}
-        self.plain, self.part = re.compile(rb"[!-~]+").fullmatch, re.compile(PARTS).findall
-        self.by_chunk = self._splits(json.loads(self.tokenizer.to_str()))
+        self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_unit = self._splits(told)
+        # The last id of each unit tells that it ends there.
+        suffix = told["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        if suffix:
+            self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     @staticmethod
     def _splits(told: dict) -> bool:
@@ -71,29 +130,55 @@ class Encoder:
         tight = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) and t["content"].startswith("<|") for t in told.get("added_tokens") or [])
         return first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True and changes == ["NFC", "Replace", "Lowercase"] and tight
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_chunk:
-            return self._ids(texts)
-        split = [t.encode("utf-8", "replace").split() for t in texts]  # bytes.split parts at space and 9 to 13 only
-        known, parts = self.chunks, self.parts
-        missing = [c for c in set().union(*split) if c not in known]
-        plain = [(c, self.part(c.lower())) for c in missing if self.plain(c) and b"<|" not in c]
-        fresh = list({p for _, ps in plain for p in ps if p not in parts})
-        now_parts = dict(zip(fresh, self._ids([p.decode() for p in fresh])))
-        of_part = lambda p: parts[p] if p in parts else now_parts[p]
-        now = {c: b"".join(map(of_part, ps)) for c, ps in plain}
-        other = [c for c in missing if c not in now]
-        now.update(zip(other, self._ids([c.decode() for c in other])))
-        # What a full memory has no room for is encoded again where it comes again.
-        if len(parts) < REMEMBERED:
-            parts.update(now_parts)
-        if len(known) < REMEMBERED:
-            known.update(now)
-            return [b"".join(map(known.__getitem__, s)) for s in split]
-        return [b"".join([known[c] if c in known else now[c] for c in s]) for s in split]
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
+
+    def _ids_together(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of one class, many of them as one text: each gives ids of which only the last one ends a unit."""
+        ids, ones = self._ids([b" ".join(parts[k : k + TOGETHER]) for k in range(0, len(parts), TOGETHER)])
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(parts) or (np.searchsorted(last, np.cumsum(ones)) + 1 != np.minimum(np.arange(1, len(ones) + 1) * TOGETHER, len(parts))).any():
+            return self._ids(parts)
+        return ids, np.diff(last, prepend=0)
+
+    def _learn(self, texts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(texts) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + len(texts)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(texts)] = sizes
+        self.used += len(ids)
+        self.known.update(zip(texts, range(n, n + len(texts))))
+
+    def __call__(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts data[begins[0]:begins[1]], ... one after the other, and how many each text has."""
+        if not self.by_unit:
+            return self._ids([data[a:b].tobytes() for a, b in zip(begins.tolist(), np.append(begins[1:], len(data)).tolist())])
+        at, size, body, whole = units(data, begins)
+        offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        texts, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        odd = np.zeros(len(texts), bool)
+        odd[index[whole]] = True  # equal units are of one kind
+        new = [[], []]
+        for t, o in zip(texts, odd.tolist()):
+            if t not in self.known:
+                new[o].append(t)
+        self._learn(new[0], *self._ids_together(new[0]))
+        self._learn(new[1], *self._ids(new[1]))
+        row = np.fromiter(map(self.known.__getitem__, texts), np.int64, len(texts))[index]
+        sizes = self.sizes[row]
+        total = np.append(0, np.cumsum(sizes))
+        ids = self.flat[np.repeat(self.starts[row] - total[:-1], sizes) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(at, np.append(begins, len(data)))])
 
 
 def default_tokenizer() -> str:
@@ -103,7 +188,8 @@ def default_tokenizer() -> str:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32; ``ids`` too if asked for. ``tokenizer``: a file that every worker has."""
+    """One row per piece: nr (its own number), doc_id, piece, start, length, ids_crc32; ``ids`` too if asked for.
+    ``tokenizer``: a file that every worker has."""
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,21 +197,28 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = _kept_by_worker(f"encoder {path}", lambda: Encoder(path))
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            for doc, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                ids = np.append(np.frombuffer(found, "<u4"), np.uint32(0))
-                for n, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    for to, x in zip(rows, (doc, n, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), part.astype(np.int32) if with_ids else None)):
-                        to.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            keep = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows[:keep], kinds)], names=list(names[:keep]))
-
-    small_arrow_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+        nr = TaskContext.get().partitionId() << 40
+        for docs, data, begins in gathered(batches, BATCH_BYTES):
+            found, sizes = encode(data, begins)
+            # Each text ends with id 0.
+            ids = np.zeros(len(found) + len(sizes), "<u4")
+            ids[np.arange(len(found)) + np.repeat(np.arange(len(sizes)), sizes)] = found
+            sizes = sizes + 1
+            count = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(sizes[doc] - start, capacity)
+            at = np.cumsum(length)
+            raw = memoryview(ids.view(np.uint8))
+            crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((at - length).tolist(), at.tolist())), np.int64, len(at))
+            out = [np.arange(nr, nr + len(doc)), docs.take(pa.array(doc)), piece.astype(np.int32), start, length, crc]
+            if with_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(0, at), pa.int32()), pa.array(ids.view(np.int32))))
+            nr += len(doc)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=["nr", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -174,7 +267,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 def _pack_group(table: pa.Table, last: bool, capacity: int) -> pa.Table:
     """Adds bin, offset, stays, n_bins and bound to the rows of one group."""
-    table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+    table = table.sort_by([("length", "descending"), ("nr", "ascending")])
     lengths = table.column("length").to_numpy().astype(np.int64)
     bins, places, rooms = best_fit(lengths, capacity)
     bound = lower_bound(lengths, capacity)
@@ -198,20 +291,23 @@ def _packer(last: bool, capacity: int):
 def pack(rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """``rows`` (as of ``pieces``) with sequence_id and offset; every bin's places are gapless from 0."""
     names = [f.strip().split(" ")[0] for f in PIECES.split(",")]
-    out, left, n = None, rows.select(*names), rows.count()
+    cut = materialized(rows.select(*names), "pieces")
+    out, left, n = None, cut, cut.count()
     schema = f"grp long, {PIECES}, bin long, offset long, stays boolean, n_bins long, bound long"
     for turn in range(rounds + 1):
         groups = max(1, -(-n // group_pieces))
         last = turn == rounds or (groups == 1 and turn > 0)
-        dealt = left.withColumn("grp", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "start"), F.lit(groups)))
+        # Pieces are dealt by their own number: rows without an id, or with one id, spread like any others.
+        dealt = left.withColumn("grp", F.pmod(F.xxhash64(F.lit(turn), "nr"), F.lit(groups)))
         packed = materialized(dealt.select("grp", *names).groupBy("grp").applyInArrow(_packer(last, capacity), schema), f"packed-{turn}")
-        done = packed.where("stays").select(*names, (F.lit(turn * (1 << 56)) + F.col("grp") * (1 << 28) + F.col("bin")).alias("sequence_id"), "offset")
+        done = packed.where("stays").select(*names[1:], (F.lit(turn * (1 << 56)) + F.col("grp") * (1 << 28) + F.col("bin")).alias("sequence_id"), "offset")
         out = done if out is None else out.unionAll(done)
         left = packed.where("not stays").select(*names)
         if last or not (n := left.count()):
             break
+    discard(cut)
     return out
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(materialized(pieces(docs, id_col, text_col, tokenizer, capacity), "pieces"), capacity)
+    return pack(pieces(docs, id_col, text_col, tokenizer, capacity), capacity)

@@ -45,19 +45,43 @@ def test_packing_is_gapless_and_whole(spark, group_pieces):
         assert len(ids) == packing.lower_bound(np.array([r["length"] for r in out]))
 
 
+def encoded(encode, texts):
+    data = [t.encode() for t in texts]
+    sizes = np.array([len(x) for x in data], np.int64)
+    ids, n = encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes)
+    ends = np.cumsum(n)
+    return [ids[a:b].tolist() for a, b in zip(ends - n, ends)]
+
+
 def test_encoder_against_whole_texts(monkeypatch):
+    import random
+
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(packing.default_tokenizer())
-    texts = ["Rewh.### And&&& a$$$ OF!! it's 'street ''s don't I'LL x<|endoftext|>y <|ENDOFTEXT|> 12ab34", "É e\u0301 \u00a0x\u2003y \x1cz\x7f \u0130K \u03a3\u03a3 漢字 ½ ① ﬁ", "", "a\x00b\tc\x0bd", *[t or "" for _, t in TEXTS]]
-    for most in (1_000_000, 3):
+    rng, whole = random.Random(4), Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["Rewh.### And&&& a$$$ OF!! it's 'street ''s don't I'LL x<|endoftext|>y <|ENDOFTEXT|> 12ab34", "É e\u0301 \u00a0x\u2003y \x1cz\x7f \u0130K \u03a3\u03a3 漢字 ½ ① ﬁ", "", "a\x00b\tc\x0bd", "", *[t or "" for _, t in TEXTS], ""]
+    odd = "aB é É ö ß × ÷ İ ŉ ǅ ɑ ' 's 'S 'll <| |> <|endoftext|> . , = \u0338 \u0301 « » … 1 ½ ² ٣ Σ ς ﬁ 漢 \u00a0 \u2003 \x1c \x85 \n \t".split(" ") + [" ", "'", "\u212b", "\U0001f600", "K"]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for most, together in ((1_000_000, 1024), (3, 2)):
         monkeypatch.setattr(packing, "REMEMBERED", most)
+        monkeypatch.setattr(packing, "TOGETHER", together)
         encode = packing.Encoder(packing.default_tokenizer())
-        assert encode.by_chunk
+        assert encode.by_unit
         for _ in range(2):
-            assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
-        encode.by_chunk = False
-        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+            assert encoded(encode, texts) == want
+        for k in range(0, len(texts), 700):
+            assert encoded(encode, texts[k : k + 700]) == want[k : k + 700]
+        encode.by_unit = False
+        assert encoded(encode, texts) == want
+
+
+def test_rows_without_an_id_spread(spark):
+    docs = frame(spark, [(None, f"w{i % 9}") for i in range(1000)] + [(7, f"v{i}") for i in range(1000)])
+    out = packing.pack(packing.pieces(docs), group_pieces=250).collect()
+    assert Counter(r.doc_id for r in out) == {None: 1000, 7: 1000}
+    sizes = Counter(r.sequence_id for r in out)
+    assert len(sizes) == 8 and max(sizes.values()) < 320  # eight groups of about 250 pieces, one sequence each
 
 
 def test_pack_nothing(spark):
