@@ -136,13 +136,3 @@ def with_hot_rows_broadcast(left: DataFrame, right: DataFrame, key: str, weight:
     salted = first.withColumn("_jk", F.when(F.col("_hk").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("#"), F.rand(7).cast("string"))))
     joined = salted.join(cold, F.col("_jk") == F.col("_ck"), "left").withColumn("_r", F.coalesce("_hot", "_cold"))
     return joined.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
-
-
-def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the bytes of a batch of texts that a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Give back the disk of shuffles whose results are written."""
-    spark.sparkContext._jvm.System.gc()

@@ -148,7 +148,6 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             x = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(model.features))], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     stats = with_stats(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     return stats.select("doc_id", *[F.col(f).cast("double") for f in model.features]).mapInArrow(run, "doc_id long, score double")
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialized, release_shuffles, small_arrow_batches, text_of, with_hot_rows_broadcast
+from .common import discard, materialized, text_of, with_hot_rows_broadcast
 
 VANTAGE = 0x9E3779B97F4A7C15
 #: Rows (stored and queries) of a task of the search, on average; fingerprints of a leaf that call for another level.
@@ -112,7 +112,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out += [batch.column(2), pa.array([samples(h) for h in every], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "h", "samples"][: len(out)])
 
-    small_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *([text_hash(text_col).alias("h")] if sampled else []))
     return texts.mapInArrow(run, "doc_id long, fp long" + (", h long, samples array<long>" if sampled else ""))
 
@@ -165,7 +164,6 @@ def routed(groups: DataFrame, levels: int, radius: int) -> DataFrame:
                 row, col = np.nonzero(fits)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf[row, col]), pa.array(part[row]), pa.array(col == 0)], names=["leaf", "fp", "stored"])
 
-    groups.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
     return groups.select("fp").mapInArrow(run, "leaf long, fp long, stored boolean")
 
 
@@ -282,7 +280,6 @@ def common_shingles(texts: DataFrame, n: int, words: int) -> tuple[np.ndarray, n
 def _prefix_pairs(docs: DataFrame, near: DataFrame, text_col: str, words: int) -> DataFrame:
     """Pairs (a, b) of hashes of texts in different components: every pair that may be similar enough."""
     texts = docs.select(text_hash(text_col).alias("h"), text_of(text_col).alias("text"))
-    small_arrow_batches(docs.sparkSession)
     common, counts = common_shingles(texts, near.count(), words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +298,7 @@ def _prefix_pairs(docs: DataFrame, near: DataFrame, text_col: str, words: int) -
         return rows.withColumn("_lo", F.min(by).over(all_of)).withColumn("_hi", F.max(by).over(all_of)).where("_lo <> _hi").drop("_lo", "_hi")
 
     met = materialized(shared(texts.mapInArrow(run, "t long, h long, n int, i int"), "h"), "prefixes")
-    release_shuffles(docs.sparkSession)
     rows = materialized(shared(met.distinct().join(near.select("h", "root").distinct(), "h"), "root"), "prefixes-apart")
-    release_shuffles(docs.sparkSession)
     one = lambda to: rows.select("t", *[F.col(c).alias(f"{c}_{to}") for c in ("h", "root", "n", "i")])
     size = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-6
     # Holds at the first shingle that a similar pair has in common: it and what stands behind it must be overlap enough.
@@ -340,7 +335,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
                 ok.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    small_arrow_batches(docs.sparkSession)
     known = materialized(texts.mapInArrow(sets, "id long, shingles binary, odd binary, size int"), "shingle-sets")
     bits = lambda to: known.select(F.col("id").alias(to), F.col("odd").alias(f"odd_{to}"), F.col("size").alias(f"size_{to}"))
     left = pairs.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "odd_a", "odd_b", "size_a", "size_b").mapInArrow(likely, "a long, b long")
@@ -354,7 +348,6 @@ def _linked(docs: DataFrame, near: DataFrame, pairs: DataFrame, text_col: str, w
     of = near.select("h", "root").distinct()
     apart = pairs.join(of.select(F.col("h").alias("a"), F.col("root").alias("ca")), "a").join(of.select(F.col("h").alias("b"), F.col("root").alias("cb")), "b")
     apart = materialized(apart.where("ca <> cb"), "candidates")
-    release_shuffles(docs.sparkSession)
     texts = docs.select(text_hash(text_col).alias("h"), text_of(text_col).alias("text"))
     found = _verified(texts, apart.select("a", "b").distinct(), "h", "text", words)
     # Links of documents stand for links of their components.
@@ -368,12 +361,10 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int
     """doc_id, h (hash of the text), root: one row per row of ``docs``; rows of one component have one root."""
     rows = materialized(fingerprints(docs, id_col, text_col, words, sampled=True), "fingerprints")
     near = materialized(_clustered(rows.drop("samples"), radius).select("doc_id", "h", "root"), "near")
-    release_shuffles(docs.sparkSession)
     each = rows.select("h", F.explode("samples").alias("s"))
     groups = each.groupBy("s").agg(F.min("h").alias("b"), F.max("h").alias("last"), F.count("*").alias("n")).where("b < last").drop("last")
     met = with_hot_rows_broadcast(each, materialized(groups, "samples"), "s", "n", rows.count() * ORDERS)
     near = _linked(docs, near, met.where("b <> h").select(F.col("h").alias("a"), "b").distinct(), text_col, words)
-    release_shuffles(docs.sparkSession)
     return _linked(docs, near, _prefix_pairs(docs, near, text_col, words), text_col, words)
 
 

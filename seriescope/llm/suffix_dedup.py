@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialized, small_arrow_batches, text_of, with_hot_rows_broadcast
+from .common import discard, materialized, text_of, with_hot_rows_broadcast
 
 LENGTH, GRAM = 100, 24
 SHARD_BYTES, SLICE_BYTES = 6 << 20, 2 << 20
@@ -332,8 +332,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     hot = needs.groupBy("anchor").agg(F.count("*").alias("contexts"))
     hot = hot.where(F.col("contexts") > HOT_CONTEXTS).select("anchor", F.lit(True).alias("hot"))
     needs = needs.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    small_arrow_batches(docs.sparkSession, 128)
-    cut = materialized(_cut(docs, needs), "contexts")
+    cut = materialized(_cut(docs, needs), "contexts", 128)
     size = cut.where("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     dealt = cut.where("not hot").select("doc_id", "loc", "n", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
@@ -347,7 +346,6 @@ def repeats(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` also kept, the bytes that stay."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    small_arrow_batches(docs.sparkSession)
     ranges = repeats(slim)
     lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("loc", "n")).alias("cut"))  # at most one range for each byte of the document
     both = slim.join(lists.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "cut")
@@ -372,4 +370,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keep = 6 if with_text else 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols[:keep], kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:keep])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return materialized(both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")), "cleaned")
