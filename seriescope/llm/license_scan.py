@@ -1,13 +1,15 @@
 """License scans by diagonal voting.
 
 Every rolling word k-gram of every text is hashed and joined with the hashed k-grams of the license templates (a fixed
-table, so it can be broadcast). Each hit votes for a diagonal, the word offset between text and template; votes are counted
-for each diagonal, neighbouring diagonals that overlap are merged (words put in or left out shift the offset), and a merged
-span is verified: hits compare the words themselves, and enough of the template's k-grams must be found in it.
+table, so it can be broadcast). Each hit compares the words themselves and votes for a diagonal, the word offset between text
+and template; votes are counted for each diagonal, and neighbouring diagonals (at most ``BAND`` apart: words put in or left
+out shift the offset) are merged into one span. A span is verified: enough of the template's k-grams must be found in it.
 
-Defined cases: a null text is empty and has no words; a null id keeps its row, but votes only for itself (null ids count as
-one document where labels are gathered, as no key tells them apart); repeated ids share the labels found in any of their
-rows; an empty table gives an empty result; further columns are not read.
+One pass reads the texts. It gives each row a number of its own, and hands on the row's base phrases (in place -1, which
+meets a row of its own in the template table) and its hits; all that follows works on these.
+
+Defined cases: a null text is empty and has no words; null and repeated ids are kept, and each row has the labels of its own
+text only; repeated rows are scanned each; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, text_of, upto, words_of
+from .common import discard, let, materialized, text_of, upto, words_of
 
 #: What is no letter, digit or character beyond ASCII separates words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,6 +49,8 @@ TEMPLATES = (
     ("reserved", "All rights reserved."),
     ("reserved", "All rights reserved. No part of this publication may be reproduced without prior permission of the publisher."),
 )
+#: The hash that stands for a text as such.
+ROW = -(2**63)
 #: Words of a k-gram; diagonals this close are merged; the least share of a template's k-grams in a verified span.
 GRAM, BAND, COVERAGE = 3, 3, 0.7
 #: Templates of up to so many k-grams must be found whole: one word more or less makes them another licence (BY and BY-NC, 2.0 and 2.1).
@@ -59,7 +63,7 @@ def lowered(text: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """template, label, grams (number), at (position of the k-gram), gram, hash."""
+    """template, label, grams (number), at (position of the k-gram), gram, hash; and the row that meets place -1 of each text."""
     rows = []
     for n, (label, text) in enumerate(TEMPLATES):
         words = [w for w in re.split(SEPARATORS, text.lower()) if w]
@@ -67,29 +71,39 @@ def templates(spark: SparkSession) -> DataFrame:
         rows += [(n, label, len(grams), i, g, *g.split(" ")) for i, g in enumerate(grams)]
     parts = [f"w{k}" for k in range(GRAM)]
     table = spark.createDataFrame(rows, f"template int, label string, grams int, at int, gram string, {', '.join(f'{p} string' for p in parts)}")
-    return table.select("template", "label", "grams", "at", "gram", F.xxhash64(*parts).alias("hash"))
+    own = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(0).alias("grams"), F.lit(0).alias("at"), F.lit("").alias("gram"), F.lit(ROW).alias("hash"))
+    return table.select("template", "label", "grams", "at", "gram", F.xxhash64(*parts).alias("hash")).unionAll(own)
 
 
 def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, template, label, grams, at, pos: each k-gram of a text that stands in a template, compared word by word."""
-    words = docs.select(F.col(id_col).alias("doc_id"), words_of(lowered(text_of(text_col)), SEPARATORS).alias("w"))
-    n = F.size("w") - F.lit(GRAM - 1)
-    rolled = words.select("doc_id", "w", F.posexplode(F.transform(upto(n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(GRAM)]))).alias("pos", "h"))
-    joined = rolled.join(F.broadcast(templates(docs.sparkSession)), F.col("h") == F.col("hash"))
-    same = F.concat_ws(" ", *[F.get("w", F.col("pos") + k) for k in range(GRAM)]) == F.col("gram")
-    return joined.where(same).select("doc_id", "template", "label", "grams", "at", "pos")
+    """row, template, label, grams, at, pos: each k-gram of a text that stands in a template, compared word by word; and with
+    template -1 one line per row of ``docs``, that has its doc_id and base phrases as ``said``."""
+    low = lowered(text_of(text_col))
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), low.alias("low"), words_of(low, SEPARATORS).alias("w"))
+    likely = (F.contains("low", F.lit("cc")) & F.contains("low", F.lit("by"))) | F.contains("low", F.lit("public")) | F.contains("low", F.lit("rights"))
+    none = F.array().cast("array<struct<at:int,label:string>>")
+    said = F.struct("doc_id", F.size("w").alias("n_words"), F.when(likely, _phrases(F.col("w"))).otherwise(none).alias("p"))
+    rolled = words.select("row", "w", said.alias("said")).select("row", "w", "said", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("w") - GRAM, F.lit(-1)))).alias("pos"))
+    gram = [F.get("w", F.col("pos") + k) for k in range(GRAM)]
+    joined = rolled.withColumn("h", F.when(F.col("pos") >= 0, F.xxhash64(*gram)).otherwise(F.lit(ROW))).join(F.broadcast(templates(docs.sparkSession)), F.col("h") == F.col("hash"))
+    same = F.when(F.col("pos") >= 0, F.concat_ws(" ", *gram) == F.col("gram")).otherwise(F.col("template") == -1)
+    return joined.where(same & ((F.col("pos") < 0) | (F.col("template") >= 0))).select("row", "template", "label", "grams", "at", "pos", F.when(F.col("template") < 0, F.col("said")).alias("said"))
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """doc_id, label, first, last (words, inclusive), coverage: verified spans."""
-    votes = found.groupBy("doc_id", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    """row, label, first, last (words, inclusive), coverage: verified spans."""
+    votes = found.groupBy("row", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("cells")
     )  # cells: at most one for each k-gram of the template
-    near = Window.partitionBy("doc_id", "template").orderBy("first", "diagonal")
-    gap = (F.abs(F.col("diagonal") - F.lag("diagonal").over(near)) > BAND) | (F.col("first") > F.lag("last").over(near) + F.col("grams"))
-    merged = votes.withColumn("group", F.sum(F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).over(near))
-    whole = merged.groupBy("doc_id", "template", "label", "grams", "group").agg(F.min("first").alias("first"), F.max("last").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("cells")))).alias("seen"))
-    return whole.select("doc_id", "label", "first", (F.col("end") + GRAM - 1).alias("last"), (F.col("seen") / F.col("grams")).alias("coverage"), "seen", "grams").where(F.col("seen") >= F.when(F.col("grams") <= SHORT, F.col("grams")).otherwise(COVERAGE * F.col("grams"))).drop("seen", "grams")
+    # Places on near diagonals are near each other, as no place is further from its diagonal than the template is long.
+    near = Window.partitionBy("row", "template").orderBy("diagonal")
+    gap = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > BAND, F.lit(True))
+    merged = votes.withColumn("group", F.sum(gap.cast("int")).over(near))
+    whole = merged.groupBy("row", "template", "label", "grams", "group").agg(
+        F.min("first").alias("first"), F.max("last").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("cells")))).alias("seen")
+    )
+    enough = F.when(F.col("grams") <= SHORT, F.col("grams")).otherwise(COVERAGE * F.col("grams"))
+    return whole.where(F.col("seen") >= enough).select("row", "label", "first", (F.col("end") + GRAM - 1).alias("last"), (F.col("seen") / F.col("grams")).alias("coverage"))
 
 
 def _phrases(words: Column) -> Column:
@@ -105,19 +119,21 @@ def _phrases(words: Column) -> Column:
         return out
 
     likely = F.filter(upto(F.size(words)), lambda i: F.get(words, i).isin(*[p[0] for _, p in PHRASES]))
-    return F.filter(F.transform(likely, lambda i: F.struct(i.alias("at"), label(i).alias("label"))), lambda x: x["label"].isNotNull())
+    return F.filter(F.transform(likely, lambda i: F.named_struct(F.lit("at"), i, F.lit("label"), label(i))), lambda x: x["label"].isNotNull())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: words, base phrases, labels and the best coverage of any template."""
-    words = docs.select(F.col(id_col).alias("doc_id"), words_of(lowered(text_of(text_col)), SEPARATORS).alias("w"))
-    base = words.select("doc_id", F.size("w").cast("long").alias("n_words"), let(F.col("w"), _phrases).alias("p")).select(
-        "doc_id", "n_words", F.size("p").cast("long").alias("n_base"), F.get("p", F.lit(0))["at"].cast("long").alias("first_word"),
+    found = materialized(hits(docs, id_col, text_col), "license-hits")
+    own = spans(found.where("template >= 0")).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("coverage"))
+    rows = found.where("template < 0").select("row", "said.*")
+    base = rows.select(
+        "row", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("p").cast("long").alias("n_base"), F.get("p", F.lit(0))["at"].cast("long").alias("first_word"),
         F.get("p", F.size("p") - 1)["at"].cast("long").alias("last_word"), F.array_distinct(F.transform("p", lambda x: x["label"])).alias("base"),
     )
-    own = spans(hits(docs, id_col, text_col)).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("coverage"))
-    own = own.select(F.col("doc_id").alias("_id"), "more", "coverage")
-    out = base.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.greatest(F.coalesce("coverage", F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(0.5)).otherwise(0.0))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+    out = base.join(own, "row", "left")
+    out = materialized(out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score")), "licenses")
+    discard(found)
+    return out
