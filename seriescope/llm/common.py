@@ -41,6 +41,20 @@ def upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+def running(values: Column, add, start: Column, block: int = 64) -> Column:
+    """For each element what ``add`` makes of all elements before it, from ``start`` on. An array that grows in a fold is copied
+    at each step; here elements are added up in blocks, and blocks in blocks of blocks, so a step costs the same at any length."""
+    upto_ = lambda n: F.sequence(F.lit(0), n)
+    total = lambda xs: F.aggregate(xs, start, add)
+    blocks = lambda xs: F.transform(upto_(F.floor(F.size(xs) / block).cast("int")), lambda b: total(F.slice(xs, b * block + 1, F.lit(block))))
+    heads = lambda xs: F.transform(xs, lambda _, i: total(F.slice(xs, F.lit(1), i)))
+
+    def within(xs, before):
+        return F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, i - i % block + 1, i % block), F.get(before, F.floor(i / block).cast("int")), add))
+
+    return let(values, lambda xs: let(blocks(xs), lambda ys: let(within(ys, heads(blocks(ys))), lambda before: within(xs, before))))
+
+
 def doc_fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, by ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

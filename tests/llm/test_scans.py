@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -53,6 +54,22 @@ def test_entropy_against_brute_force(spark):
     assert all(abs(got[s] - best(s)) < 1e-9 for s in strings)
 
 
+def test_many_spans_take_time_in_proportion(spark):
+    """Texts of some 20,000 assignments and candidates, in every mixture; one that a nested pattern would recurse on."""
+    import time
+
+    one = " ".join(f"password = {RANDOM[:12]}{i} {RANDOM}{i}" for i in range(10_000))
+    texts = [(1, one), (2, "token=abcdef " * 20_000), (3, "abc/def_1/" * 30_000 + "x"), (4, f"{RANDOM} " * 20_000), (None, one)]
+    began = time.monotonic()
+    got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256): r.spans for r in secrets.digest(secrets.scan(frame(spark, texts))).collect()}
+    assert time.monotonic() - began < 60
+    assert set(got) == {(i, *brute(t)) for i, t in texts}
+    spans = {k[0]: v.split(",") for k, v in got.items()}
+    assert len(spans[1]) == 20_000 and len(spans[2]) == 20_000 and spans[3] == [""] and len(spans[4]) == 20_000
+    ends = [tuple(map(int, x.split(":")[1:])) for x in spans[1]]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_licenses_against_brute_force(spark):
     rows = TEXTS + [(30, "CC BY cc-by ccKby cK by ALL rights, reserved; general public\nlicense all rights"), (31, PROSE + " this program is free software: you can redistribute it and or modify it under the terms of the gnu general public license as published by someone")]
     got = Counter(map(tuple, license_scan.scan(frame(spark, rows, extra=("w", "h", "pos"))).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()))
@@ -79,3 +96,50 @@ def test_each_short_notice_is_found_and_no_other(spark):
     rows = [(i, f"{PROSE}\n{text}\n{PROSE}") for i, (text, _, _) in enumerate(notices)]
     got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(frame(spark, rows)).collect()}
     assert got == {i: (labels, score) for i, (_, labels, score) in enumerate(notices)}
+
+
+def brute_labels(text):
+    """Labels and score by a plain diagonal vote."""
+    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    words, labels, best = words_of(text), set(), 0.0
+    for label, notice in license_scan.TEMPLATES:
+        grams = list(zip(*[words_of(notice)[k:] for k in range(3)]))
+        cells = {}
+        for pos, g in enumerate(zip(*[words[k:] for k in range(3)])):
+            for at, h in enumerate(grams):
+                if g == h:
+                    cells.setdefault(pos - at, set()).add(at)
+        group, last = set(), None
+        for d in [*sorted(cells), math.inf]:
+            if last is not None and d - last > license_scan.BAND:
+                if len(group) >= (len(grams) if len(grams) <= license_scan.SHORT else license_scan.COVERAGE * len(grams)):
+                    labels.add(label)
+                    best = max(best, len(group) / len(grams))
+                group = set()
+            if d < math.inf:
+                group, last = group | cells[d], d
+    base = {label for label, p in license_scan.PHRASES if any(tuple(words[i : i + len(p)]) == p for i in range(len(words)))}
+    return ",".join(sorted(labels | base)), max(best, 0.5 if base else 0.0)
+
+
+def test_labels_against_a_plain_vote(spark):
+    """Notices with words put in, left out and changed, and with grams of their own elsewhere; null and repeated ids."""
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(words))
+                kind = rng.randrange(4)
+                stray = rng.choice(license_scan.TEMPLATES)[1].split()
+                k = rng.randrange(len(stray))
+                words[at : at + (kind == 0)] = [] if kind == 0 else ["by", "the", "free"] if kind == 1 else stray[k : k + rng.randrange(1, 5)] if kind == 2 else ["other"] * rng.randrange(1, 5)
+            parts += [PROSE[: rng.randrange(len(PROSE))], " ".join(words)]
+        rows.append((None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(parts)))
+    rows += [(None, PROSE), (7, PROSE), (None, None), (7, "")] + [(None, f"plain text {i}") for i in range(1000)]
+    got = Counter((r.doc_id, r.labels, round(r.score, 9)) for r in license_scan.scan(frame(spark, rows)).collect())
+    assert got == Counter((i, x, round(y, 9)) for i, t in rows for x, y in [brute_labels(t or "")])
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation".split()
+    split = " ".join(gpl[:14] + ["by", "the", "free"] + gpl[14:])
+    assert license_scan.scan(frame(spark, [(1, split)])).first().score > 0.9
