@@ -3,14 +3,16 @@
 A text's fingerprint has a bit set where over half of the XXH64 hashes of its word shingles have it set. Fingerprints link
 when they differ in at most ``radius`` bits; documents whose fingerprints are joined by links are one component.
 
-Search. A vantage-point tree splits fingerprints by Hamming distance to a vantage point. Each level here measures the
-distance on its own block of the 64 bits (to the vantage point 0x9E3779B97F4A7C15, cut likewise), with one child per
-distance. Blocks are disjoint, so triangle bounds add up over the levels: if the distances of two fingerprints to the
-vantage point differ by g1, g2, ... on the blocks, the fingerprints differ in at least g1 + g2 + ... bits, and a branch is
-pruned as soon as that sum exceeds the radius. A leaf is a shard: a fingerprint is stored in its own leaf, and is a query in
-every other leaf whose bounds its radius overlaps (only those that come later: a pair is then met exactly once). Every leaf
-compares its queries with its stored fingerprints exactly and passes on a spanning forest of the links, so a leaf never
-returns more rows than it has. Components of all forests are found by rounds of star contraction on tables.
+Search. A vantage-point tree is grown from a bounded sample of the fingerprints (``SAMPLED``): each node takes one of its own
+fingerprints as its vantage point, the one that parts the node most evenly, and has a child for each Hamming distance to it.
+The distance is taken on a block of bits of its own for each level of a path (whole fingerprints are all about 32 bits away
+from any vantage point, which prunes nothing). Blocks are disjoint, so triangle bounds add up along a path: where two
+fingerprints differ by g1, g2, ... in their distances to the vantage points they meet, they differ in at least g1 + g2 + ...
+bits, and a branch is pruned as soon as that sum exceeds the radius. Every fingerprint, in the sample or not, is stored in
+one leaf, its shard, and is a query in every other leaf whose bounds its radius overlaps (at the first node where the paths
+part only to the farther side: a pair is then met exactly once). A task compares the queries of a leaf with its stored
+fingerprints exactly, under a tree of its own where they are many, and passes on a spanning forest of the links, so a leaf
+never returns more rows than it has. Components of all forests are found by rounds of star contraction on tables.
 
 Equal fingerprints are merged before the search, so a group of copies of any size is one query.
 
@@ -33,6 +35,7 @@ passes further columns through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +44,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialized, text_of, with_hot_rows_broadcast
 
-VANTAGE = 0x9E3779B97F4A7C15
-#: Rows (stored and queries) of a task of the search, on average; fingerprints of a leaf that call for another level.
-SHARD_ROWS, LEAF_ROWS = 250_000, 4_000
+#: Fingerprints that the tree is grown from, at most; those of a leaf that call for another level; picks for a vantage point.
+SAMPLED, LEAF_ROWS, PICKS = 100_000, 2_000, 12
+#: Rows (stored and queries) of a task of the search, on average.
+SHARD_ROWS = 250_000
 #: Queries compared with the stored fingerprints of a leaf at once.
 BLOCK = 1_024
 #: Least similarity of near copies; orders of shingles, and shingles of a sample, for the first step only: it may miss any pair.
@@ -116,53 +120,79 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts.mapInArrow(run, "doc_id long, fp long" + (", h long, samples array<long>" if sampled else ""))
 
 
-def levels_for(n: int) -> int:
-    """Levels of the tree, so that leaves stay small: a level on shorter blocks parts about six times finer."""
-    levels = 4
-    while levels < 16 and n / 6.0**levels > LEAF_ROWS:
-        levels += 2
-    return levels
-
-
-def _blocks(levels: int) -> list[np.uint64]:
-    edges = [round(64 * k / levels) for k in range(levels + 1)]
-    return [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(edges, edges[1:])]
-
-
-def _offsets(levels: int, radius: int) -> np.ndarray:
-    """Differences of leaf paths within the radius, of which the first that is not zero is positive."""
-    out, steps = [(0,) * levels], range(-radius, radius + 1)
-
-    def extend(head: tuple[int, ...], left: int, positive: bool) -> Iterator[tuple[int, ...]]:
-        if len(head) == levels:
-            if positive:
-                yield head
-            return
-        for s in steps:
-            if abs(s) <= left and (positive or s >= 0):
-                yield from extend((*head, s), left - abs(s), positive or s > 0)
-
-    return np.array(out + list(extend((), radius, False)), np.int64)
-
-
-def routed(groups: DataFrame, levels: int, radius: int) -> DataFrame:
+@dataclass
+class Tree:
+    """Nodes: vantage point, mask of the block that distances are taken on, and the first child (that of distance 0; -1: a leaf)."""
+
+    vantage: np.ndarray
+    mask: np.ndarray
+    child: np.ndarray
+
+    def route(self, fps: np.ndarray, radius: int, both_sides: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place among ``fps``, leaf, and whether it is stored there (else it is a query): all leaves within the radius, but for those
+        that come before its own (unless ``both_sides``)."""
+        row, node, left = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.full(len(fps), radius)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(row):
+            leaf = self.child[node] < 0
+            done.append((row[leaf], node[leaf], left[leaf] == radius))
+            row, node, left = row[~leaf], node[~leaf], left[~leaf]
+            distance = np.bitwise_count((fps[row] ^ self.vantage[node]) & self.mask[node]).astype(np.int64)
+            width = np.bitwise_count(self.mask[node]).astype(np.int64)
+            steps = []
+            for step in range(-radius, radius + 1):
+                ok = (abs(step) <= left) & (distance + step >= 0) & (distance + step <= width) & ((step >= 0) | both_sides | (left < radius))
+                steps.append((row[ok], self.child[node[ok]] + distance[ok] + step, left[ok] - abs(step)))
+            row, node, left = (np.concatenate(x) for x in zip(*steps))
+        return tuple(np.concatenate(x) for x in zip(*done))
+
+
+def _width(share: float, bits: int) -> int:
+    """Bits of a node's block: the widest of which the rest has enough to part ``share`` leaves' worth."""
+    return next((w for w, parts in ((16, 7.0), (8, 5.0)) if bits >= w and parts ** (bits // w) >= 4 * share), min(bits, 4))
+
+
+def grow(sample: np.ndarray, total: int, leaf_rows: int | None = None) -> Tree:
+    """A tree for ``total`` fingerprints, of which ``sample`` (distinct, unsigned) are known."""
+    leaf_rows = leaf_rows or LEAF_ROWS
+    vantage, mask, child = [np.uint64(0)], [np.uint64(0)], [-1]
+    open_ = [(0, np.sort(sample), 0)]
+    while open_:
+        node, mine, at = open_.pop()
+        share = len(mine) * total / max(1, len(sample)) / leaf_rows
+        if share <= 1 or len(mine) < 16 or at >= 64:
+            continue
+        width = _width(share, 64 - at)
+        block = np.uint64(((1 << width) - 1) << at)
+        picks = mine[np.linspace(0, len(mine) - 1, PICKS).astype(np.int64)]
+        known = mine[:: max(1, len(mine) // 4096)]
+        uneven = [(np.bincount(np.bitwise_count((known ^ p) & block)) ** 2).sum() for p in picks]
+        point = picks[int(np.argmin(uneven))]
+        vantage[node], mask[node], child[node] = point, block, len(child)
+        distance = np.bitwise_count((mine ^ point) & block)
+        for d in range(width + 1):
+            open_.append((len(child), mine[distance == d], at + width))
+            vantage.append(np.uint64(0))
+            mask.append(np.uint64(0))
+            child.append(-1)
+    return Tree(np.array(vantage, np.uint64), np.array(mask, np.uint64), np.array(child, np.int64))
+
+
+def grown(groups: DataFrame, n: int) -> Tree:
+    """The tree of all fingerprints (fp) from a sample by their hash, of a size that the driver holds."""
+    cut = int((min(1.0, SAMPLED / max(1, n)) - 0.5) * 2**64)
+    some = groups.where(F.xxhash64("fp") <= F.lit(min(cut, 2**63 - 1))).select("fp").limit(2 * SAMPLED).toArrow()
+    return grow(some.column("fp").to_numpy().view(np.uint64), n)
+
+
+def routed(groups: DataFrame, tree: Tree, radius: int) -> DataFrame:
     """leaf, fp, stored: each fingerprint in its leaf, and as a query in the later leaves that it overlaps."""
-    masks, offsets = _blocks(levels), _offsets(levels, radius)
-    width = 64 // levels + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in np.array_split(fps, max(1, len(fps) * len(offsets) // 400_000)):
-                apart = part.view(np.uint64) ^ np.uint64(VANTAGE)
-                paths = np.stack([np.bitwise_count(apart & m).astype(np.int64) for m in masks], axis=1)
-                to = paths[:, None, :] + offsets[None]
-                fits = ((to >= 0) & (to < width)).all(axis=2)
-                leaf = np.zeros(fits.shape, np.int64)
-                for k in range(levels):
-                    leaf = leaf * width + to[:, :, k]
-                row, col = np.nonzero(fits)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[row, col]), pa.array(part[row]), pa.array(col == 0)], names=["leaf", "fp", "stored"])
+            row, leaf, stored = tree.route(fps.view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fps[row]), pa.array(stored)], names=["leaf", "fp", "stored"])
 
     return groups.select("fp").mapInArrow(run, "leaf long, fp long, stored boolean")
 
@@ -181,28 +211,50 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _near(stored: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked fingerprints of one leaf, each pair once: stored ones with each other, and queries with stored ones."""
+    if len(stored) > 4 * LEAF_ROWS:
+        # A leaf that the sample couldn't part: under a tree of its own, grown from all of it.
+        tree = grow(stored, len(stored))
+        if len(tree.child) > 1:
+            row, leaf, own = tree.route(stored, radius)
+            q_row, q_leaf, _ = tree.route(queries, radius, both_sides=True)
+            fps, leaves = np.concatenate([stored[row], queries[q_row]]), np.concatenate([leaf, q_leaf])
+            kind = np.concatenate([own, np.zeros(len(q_row), bool)])
+            order = np.lexsort((~kind, leaves))
+            fps, kind, edges = fps[order], kind[order], np.flatnonzero(np.diff(leaves[order], prepend=-1, append=-1))
+            for s, e in zip(edges, edges[1:]):
+                m = s + int(np.count_nonzero(kind[s:e]))
+                if m > s:
+                    yield from _compared(fps[s:m], fps[m:e], radius)
+            return
+    yield from _compared(stored, queries, radius)
+
+
+def _compared(stored: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    every = np.concatenate([stored, queries])
+    for k in range(0, len(every), BLOCK):
+        q, at = np.nonzero(np.bitwise_count(every[k : k + BLOCK, None] ^ stored[None, :]) <= radius)
+        q = q + k
+        once = (q >= len(stored)) | (q > at)  # pairs of stored ones from one side only
+        yield every[q[once]], stored[at[once]]
+
+
 def _forest(table: pa.Table, radius: int) -> pa.Table:
     """Spanning links (fp, root) of the fingerprints of some leaves."""
     leaf, fp, stored = (table.column(c).to_numpy() for c in ("leaf", "fp", "stored"))
     order = np.lexsort((~stored, leaf))
     leaf, fp, stored = leaf[order], fp[order].view(np.uint64), stored[order]
-    starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
-    froms, tos = [], []
-    for s, e in zip(starts, np.append(starts[1:], len(leaf))):
+    edges = np.flatnonzero(np.diff(leaf, prepend=-1, append=-1))
+    froms, tos = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for s, e in zip(edges, edges[1:]):
         m = s + int(np.count_nonzero(stored[s:e]))
-        if m == s:
-            continue
-        for k in range(s, e, BLOCK):
-            q, at = np.nonzero(np.bitwise_count(fp[k : min(k + BLOCK, e), None] ^ fp[None, s:m]) <= radius)
-            own = q + k != at + s
-            # Later queries stand for the pair from both sides inside a leaf; one side is enough.
-            own &= (q + k >= m) | (q + k > at + s)
-            froms.append(q[own] + k)
-            tos.append(at[own] + s)
-    values, place = np.unique(fp, return_inverse=True)
-    a = place[np.concatenate(froms)] if froms else np.empty(0, np.int64)
-    b = place[np.concatenate(tos)] if tos else np.empty(0, np.int64)
-    root = _roots(len(values), a, b)
+        if m > s:
+            for x, y in _near(fp[s:m], fp[m:e], radius):
+                froms.append(x)
+                tos.append(y)
+    values, place = np.unique(np.concatenate([*froms, *tos]), return_inverse=True)
+    root = _roots(len(values), *np.split(place, 2))
     joined = np.flatnonzero(root != np.arange(len(values)))
     signed = values.view(np.int64)
     return pa.table({"a": signed[joined], "b": signed[root[joined]]})
@@ -210,11 +262,13 @@ def _forest(table: pa.Table, radius: int) -> pa.Table:
 
 def links(groups: DataFrame, n: int, radius: int = 2) -> DataFrame:
     """Spanning links (a, b) that join exactly the fingerprints that links within the radius join."""
-    levels = levels_for(n)
-    rows = routed(groups, levels, radius)
-    shards = max(8, -(-n * len(_offsets(levels, radius)) // SHARD_ROWS))
+    tree = grown(groups, n)
+    rows = materialized(routed(groups, tree, radius), "routed", 10_000)
+    shards = max(8, -(-rows.count() // SHARD_ROWS))
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("leaf"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInArrow(lambda t: _forest(t, radius), "a long, b long")
+    out = materialized(sharded.groupBy("shard").applyInArrow(lambda t: _forest(t, radius), "a long, b long"), "forests", 10_000)
+    discard(rows)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,7 +281,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        now = materialized(small.distinct(), "star")
+        now, old = materialized(small.distinct(), "star"), now
+        discard(old)
         told = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(told) == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -48,15 +48,16 @@ def test_clusters_against_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("levels", [4, 6, 8])
+@pytest.mark.parametrize("leaf_rows,sampled", [(8, 10**6), (30, 10**6), (30, 200), (10**6, 10**6)])
 @pytest.mark.parametrize("radius", [2, 3])
-def test_search_loses_no_link(spark, monkeypatch, levels, radius):
-    monkeypatch.setattr(simhash, "levels_for", lambda n: levels)
-    rng = np.random.default_rng(levels)
+def test_search_loses_no_link(spark, monkeypatch, leaf_rows, sampled, radius):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", leaf_rows)
+    monkeypatch.setattr(simhash, "SAMPLED", sampled)
+    rng = np.random.default_rng(leaf_rows)
     seeds = rng.integers(0, 2**63, 60, np.uint64)
     fps = {int(s) for s in seeds}
     for s in seeds:
-        for _ in range(6):
+        for _ in range(20 if s == seeds[0] else 6):
             fps.add(int(s) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)))
     fps = sorted(fps)
     table = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
@@ -70,6 +71,27 @@ def test_search_loses_no_link(spark, monkeypatch, levels, radius):
     assert classes(a) == classes(b)
 
 
+def test_each_pair_meets_once_in_the_tree():
+    rng = np.random.default_rng(9)
+    fps = np.unique(rng.integers(0, 2**63, 3000, np.uint64))
+    near = fps ^ (np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64))
+    every = np.unique(np.concatenate([fps, near]))
+    tree = simhash.grow(every[::5], len(every), 50)
+    assert len(tree.child) > 100 and len({int(v) for v in tree.vantage[tree.child >= 0]}) > 20  # nodes have vantage points of their own
+    row, leaf, stored = tree.route(every, 2)
+    assert sorted(row[stored]) == list(range(len(every)))
+    home = np.empty(len(every), np.int64)
+    home[row[stored]] = leaf[stored]
+    at = {(r, x) for r, x in zip(row[~stored].tolist(), leaf[~stored].tolist())}
+    place = {int(f): i for i, f in enumerate(every)}
+    for x, y in zip(fps, near):
+        i, j = place[int(x)], place[int(y)]
+        if i != j:
+            assert (home[i] == home[j]) + ((i, home[j]) in at and home[i] != home[j]) + ((j, home[i]) in at and home[i] != home[j]) == 1
+    sizes = np.bincount(home)
+    assert sizes.max() < 400
+
+
 def test_components_of_a_path(spark):
     path = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {tuple(r) for r in simhash.components(path).select("root").distinct().collect()} == {(0,)}
