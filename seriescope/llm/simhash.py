@@ -17,13 +17,15 @@ never returns more rows than it has. Components of all forests are found by roun
 Equal fingerprints are merged before the search, so a group of copies of any size is one query.
 
 Near copies. Two texts that share 80 % of their shingles differ in about ten of 64 bits, a radius at which no bound prunes.
-``similar`` therefore also links texts whose whole shingle sets have a Jaccard similarity of ``SIMILARITY`` or more, in two
-steps. First texts that share a SimHash of sampled shingles are compared with the least text of their sample group, which
-joins most of a large group of copies without comparing all with all. Then an exact prefix filter finds what is left: in any
-one order of all shingles, two sets that similar share one of their first n - ceil(SIMILARITY * n) + 1 shingles. The order
-puts shingles that are common in a sample of the texts last, which only saves candidates. Texts of different components that
-share a shingle of their prefixes are compared, unless their sizes, the places of the shingle, or the number of odd bits in
-which they differ (``PARITY``, never more than the shingles in which they differ) exclude the similarity.
+``similar`` therefore also links texts whose whole shingle sets have a Jaccard similarity of ``SIMILARITY`` or more, by an
+exact prefix filter: in any one order of all shingles, two sets that similar share one of their first n - ceil(SIMILARITY * n)
++ 1 shingles. The order decides how many texts meet, never which links are found: it puts common shingles last, first those
+met often in a sample of the texts, then, as often as ``REFINED`` says, those that are still in many prefixes. Texts that
+share a shingle of their prefixes meet twice. First each is compared with one of them, that which has the fewest rare
+shingles (the text that copies were made from, where it is there): this joins a group of copies of any size with one row for
+each. Then all that are still in different components are compared with each other, unless their sizes, the place of the
+shingle, or the number of odd bits in which they differ (``PARITY``, never more than the shingles in which they differ)
+exclude the similarity.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; with fewer words
 than a shingle takes, all words are the one shingle; null ids are in components like others, but never name one unless no
@@ -50,10 +52,11 @@ SAMPLED, LEAF_ROWS, PICKS = 100_000, 2_000, 12
 SHARD_ROWS = 250_000
 #: Queries compared with the stored fingerprints of a leaf at once.
 BLOCK = 1_024
-#: Least similarity of near copies; orders of shingles, and shingles of a sample, for the first step only: it may miss any pair.
-SIMILARITY, ORDERS, SAMPLE = 0.8, 8, 4
-#: Texts that common shingles are counted in; the most of these; how often one must be met. Bits of a set's parity.
-COUNTED, COMMON, OFTEN, PARITY = 20_000, 200_000, 3, 1_024
+#: Least similarity of near copies.
+SIMILARITY = 0.8
+#: Texts that common shingles are counted in; the most of these; how often one must be met; times that the order is refined;
+#: prefixes that a shingle must be in to be put back. Bits of a set's parity. Pairs of one text that a task compares.
+COUNTED, COMMON, OFTEN, REFINED, HEAVY, PARITY, TOGETHER = 20_000, 200_000, 3, 2, 8, 1_024, 256
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -88,36 +91,24 @@ def fingerprint(text: str, words: int = 3) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def samples(hashes: np.ndarray) -> np.ndarray:
-    """A SimHash of the first few distinct shingles in each order; none for a text without words."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    distinct = np.unique(hashes)
-    keys = (distinct[None, :] ^ (np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-    keys ^= keys >> np.uint64(32)
-    take = min(SAMPLE, len(distinct))
-    first = distinct[np.argpartition(keys, take - 1, axis=1)[:, :take]]
-    # Hashes of one sample are mixed with its place among the orders, so samples of different orders don't meet.
-    return np.array([majority(f * np.uint64(2 * k + 1)) for k, f in enumerate(first)], np.uint64).view(np.int64)
-
-
 def text_hash(text_col: str) -> Column:
     return F.xxhash64(text_of(text_col))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, sampled: bool = False) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number; ``sampled`` adds h, the hash of the text, and samples."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, order: Order | None = None) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed 64-bit number; with an ``order`` also h, the hash of the text, n, its distinct
+    shingles, and prefix, the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
             out = [batch.column(0), pa.array(np.array([majority(h) for h in every], np.uint64).view(np.int64))]
-            if sampled:
-                out += [batch.column(2), pa.array([samples(h) for h in every], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "h", "samples"][: len(out)])
+            if order is not None:
+                out += [batch.column(2), *_prefixes(every, order)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "h", "n", "prefix"][: len(out)])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *([text_hash(text_col).alias("h")] if sampled else []))
-    return texts.mapInArrow(run, "doc_id long, fp long" + (", h long, samples array<long>" if sampled else ""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *([text_hash(text_col).alias("h")] if order is not None else []))
+    return texts.mapInArrow(run, "doc_id long, fp long" + (", h long, n int, prefix array<long>" if order is not None else ""))
 
 
 @dataclass
@@ -291,12 +282,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _clustered(rows: DataFrame, radius: int) -> DataFrame:
     """The rows (doc_id, fp and further columns) with root (a fingerprint that names the component), component_id, component_size."""
-    groups = materialized(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fp-groups")
-    roots = components(links(groups, groups.count(), radius))
-    named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
-    known = materialized(named.join(lowest, "root").select("fp", "n", "root", "component_id", "component_size"), "fp-components")
-    return with_hot_rows_broadcast(rows, known, "fp", "n", rows.count()).drop("n")
+    groups = materialized(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("_w")), "fp-groups")
+    forest = links(groups, groups.count(), radius)
+    roots = components(forest)
+    named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", "_w", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("_w").alias("component_size"))
+    known = materialized(named.join(lowest, "root").select("fp", "_w", "root", "component_id", "component_size"), "fp-components")
+    discard(groups, forest)
+    return with_hot_rows_broadcast(rows, known, "fp", "_w", rows.count()).drop("_w")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -304,75 +297,123 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return _clustered(materialized(fingerprints(docs, id_col, text_col, words), "fingerprints"), radius).select("doc_id", "fp", "component_id", "component_size")
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first shingles of a set in the order of all, of which similar sets share one, and the size of the set. ``common``
-    (sorted) come last, by their counts; others are in the order of their hashes."""
+@dataclass
+class Order:
+    """Shingles that come last (sorted), by their counts; all others come before them, by their hashes."""
+
+    common: np.ndarray
+    counts: np.ndarray
+
+    def and_then(self, more: np.ndarray, counts: np.ndarray) -> Order:
+        """This order with ``more`` put back behind the others that are not common."""
+        every, where = np.unique(np.concatenate([self.common, more]), return_inverse=True)
+        most = np.zeros(len(every), np.int64)
+        np.maximum.at(most, where, np.concatenate([self.counts, counts]))
+        return Order(every, most)
+
+
+def prefix(hashes: np.ndarray, order: Order) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the order of all, of which similar sets share one, and the size of the set."""
     x = np.unique(hashes)
     n = len(x)
     take = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1 if n else 0
-    if n and len(common):
-        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-        x = x[np.argsort(np.where(common[at] == x, counts[at], 0), kind="stable")]
+    if n and len(order.common):
+        at = np.minimum(np.searchsorted(order.common, x), len(order.common) - 1)
+        x = x[np.argsort(np.where(order.common[at] == x, order.counts[at], 0), kind="stable")]
     return x[:take], n
 
 
-def common_shingles(texts: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles often met in a sample of the texts (h, text) of bounded size, with their counts."""
+def _prefixes(every: list[np.ndarray], order: Order) -> list[pa.Array]:
+    made = [prefix(h, order) for h in every]
+    ends = np.cumsum([0] + [len(x) for x, _ in made])
+    flat = np.concatenate([np.empty(0, np.uint64), *[x for x, _ in made]]).view(np.int64)
+    return [pa.array([n for _, n in made], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *made]).view(np.int64))], names=["t"])
 
-    some = texts.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1, COUNTED / max(1, n))))).select("text")
-    met = some.mapInArrow(run, "t long").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    top = met.orderBy(F.desc("n"), "t").limit(COMMON).toArrow()
-    t, counts = top.column("t").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(t)
-    return t[order], counts[order]
+def _top(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (t, n) met most often, of a number that the driver holds."""
+    top = counted.orderBy(F.desc("n"), "t").limit(COMMON).toArrow()
+    return top.column("t").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.int64)
 
 
-def _prefix_pairs(docs: DataFrame, near: DataFrame, text_col: str, words: int) -> DataFrame:
-    """Pairs (a, b) of hashes of texts in different components: every pair that may be similar enough."""
-    texts = docs.select(text_hash(text_col).alias("h"), text_of(text_col).alias("text"))
-    common, counts = common_shingles(texts, near.count(), words)
+def sampled_order(texts: DataFrame, n: int, words: int) -> Order:
+    """The order by counts in a sample of the texts (h, text) of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [prefix(shingle_hashes(t.as_py(), words), common, counts) for t in batch.column(1)]
-            lengths = [len(x) for x, _ in made]
-            out = [
-                np.concatenate([np.empty(0, np.uint64), *[x for x, _ in made]]).view(np.int64), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths),
-                np.repeat(np.array([n for _, n in made], np.int32), lengths), np.concatenate([np.empty(0, np.int32), *[np.arange(k, dtype=np.int32) for k in lengths]]),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["t", "h", "n", "i"])
-
-    def shared(rows: DataFrame, by: str) -> DataFrame:
-        """The rows whose shingle is met with different ``by``."""
-        all_of = Window.partitionBy("t")
-        return rows.withColumn("_lo", F.min(by).over(all_of)).withColumn("_hi", F.max(by).over(all_of)).where("_lo <> _hi").drop("_lo", "_hi")
-
-    met = materialized(shared(texts.mapInArrow(run, "t long, h long, n int, i int"), "h"), "prefixes")
-    rows = materialized(shared(met.distinct().join(near.select("h", "root").distinct(), "h"), "root"), "prefixes-apart")
-    one = lambda to: rows.select("t", *[F.col(c).alias(f"{c}_{to}") for c in ("h", "root", "n", "i")])
-    size = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-6
-    # Holds at the first shingle that a similar pair has in common: it and what stands behind it must be overlap enough.
-    place = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    pairs = one("a").join(one("b"), "t").where((F.col("root_a") < F.col("root_b")) & size & place)
-    return pairs.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
+            made = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *made]).view(np.int64))], names=["t"])
+
+    some = texts.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1, COUNTED / max(1, n))))).select("text")
+    met = materialized(some.mapInArrow(run, "t long").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN), "shingles-met")
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    order = Order(*none).and_then(*_top(met))
+    discard(met)
+    return order
+
+
+def _refined(sets: DataFrame, texts: DataFrame, order: Order, words: int) -> DataFrame:
+    """The sets (h, n, prefix, root) under an order that puts shingles of many prefixes back. Only sets that have one are made anew."""
+    for _ in range(REFINED):
+        met = materialized(sets.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY), "prefixes-met")
+        heavy, counts = _top(met)
+        discard(met)
+        if not len(heavy):
+            break
+        order = order.and_then(heavy, counts)
+        back = np.sort(heavy).view(np.int64)
+
+        def told(batches: Iterator[pa.RecordBatch], back: np.ndarray = np.sort(back)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("prefix")
+                hit = np.append(0, np.cumsum(np.isin(lists.values.to_numpy(), back)))
+                ends = lists.offsets.to_numpy()
+                yield batch.append_column("again", pa.array(hit[ends[1:]] > hit[ends[:-1]]))
+
+        def made(batches: Iterator[pa.RecordBatch], order: Order = order) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_prefixes([shingle_hashes(t.as_py(), words) for t in batch.column(1)], order), batch.column(2)], names=["h", "n", "prefix", "root"])
+
+        flagged = materialized(sets.mapInArrow(told, "h long, n int, prefix array<long>, root long, again boolean"), "sets-told", 2_000)
+        again = texts.join(flagged.where("again").select("h", "root"), "h").select("h", "text", "root").mapInArrow(made, "h long, n int, prefix array<long>, root long")
+        now = materialized(flagged.where("not again").drop("again").unionAll(again.dropDuplicates(["h"])), "sets")
+        discard(sets, flagged)
+        sets = now
+    return sets
+
+
+def _with_renamed(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with their column root renamed along edges (a, b) of roots."""
+    roots = components(edges).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    sizes = rows.join(roots, "root", "left_semi").groupBy("root").agg(F.count("*").alias("_n"))
+    known = materialized(roots.join(sizes, "root"), "roots")
+    out = with_hot_rows_broadcast(rows, known, "root", "_n", rows.count())
+    return materialized(out.withColumn("root", F.coalesce("_to", "root")).drop("_to", "_n"), "renamed", 2_000)
+
+
+def _salted_join(pairs: DataFrame, side: str, known: DataFrame) -> DataFrame:
+    """``pairs`` with the columns of ``known`` (id) of one side, suffixed; a text of many pairs is sent several times, to as many tasks."""
+    sizes = materialized(pairs.groupBy(F.col(side).alias("_id")).agg(F.count("*").alias("_n")), "pair-counts")
+    parts = F.ceil(F.col("_n") / TOGETHER).cast("int")
+    dealt = with_hot_rows_broadcast(pairs, sizes.withColumnRenamed("_id", side), side, "_n", pairs.count())
+    other = "b" if side == "a" else "a"
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(other), parts)).drop("_n")
+    sent = known.join(sizes, F.col("id") == F.col("_id")).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    sent = sent.select(F.col("id").alias(side), "_part", *[F.col(c).alias(f"{c}_{side}") for c in known.columns if c != "id"])
+    return dealt.join(sent, [side, "_part"]).drop("_part")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole shingle sets are similar enough."""
+    """The pairs (a, b) of ids whose whole shingle sets are similar enough. Texts of one id must be equal."""
     ids = pairs.select(F.col("a").alias("_id")).unionAll(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
             odd = [np.packbits(np.bincount((x % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes() for x in made]
             out = [batch.column(0), pa.array([x.tobytes() for x in made], pa.binary()), pa.array(odd, pa.binary()), pa.array([len(x) for x in made], pa.int32())]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "shingles", "odd", "size"])
+            yield pa.RecordBatch.from_arrays(out, names=["id", "of", "odd", "size"])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,37 +431,53 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
                 ok.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    known = materialized(texts.mapInArrow(sets, "id long, shingles binary, odd binary, size int"), "shingle-sets")
-    bits = lambda to: known.select(F.col("id").alias(to), F.col("odd").alias(f"odd_{to}"), F.col("size").alias(f"size_{to}"))
-    left = pairs.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "odd_a", "odd_b", "size_a", "size_b").mapInArrow(likely, "a long, b long")
-    left = materialized(left, "likely")
-    one = lambda to: known.select(F.col("id").alias(to), F.col("shingles").alias(f"of_{to}"))
-    return left.join(one("a"), "a").join(one("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long").distinct()
-
-
-def _linked(docs: DataFrame, near: DataFrame, pairs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """``near`` with roots joined along those candidates (a, b: hashes of texts) that are similar enough."""
-    of = near.select("h", "root").distinct()
-    apart = pairs.join(of.select(F.col("h").alias("a"), F.col("root").alias("ca")), "a").join(of.select(F.col("h").alias("b"), F.col("root").alias("cb")), "b")
-    apart = materialized(apart.where("ca <> cb"), "candidates")
-    texts = docs.select(text_hash(text_col).alias("h"), text_of(text_col).alias("text"))
-    found = _verified(texts, apart.select("a", "b").distinct(), "h", "text", words)
-    # Links of documents stand for links of their components.
-    edges = apart.join(found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    roots = components(edges).select("node", F.col("root").alias("_to"))
-    out = near.join(roots, F.col("root") == F.col("node"), "left")
-    return materialized(out.select("doc_id", "h", F.coalesce("_to", "root").alias("root")), "near")
+    known = materialized(texts.mapInArrow(sets, "id long, of binary, odd binary, size int").dropDuplicates(["id"]), "shingle-sets")
+    of = lambda rows, *cols: _salted_join(_salted_join(rows, "a", known.select("id", *cols)), "b", known.select("id", *cols))
+    left = materialized(of(pairs, "odd", "size").select("a", "b", "odd_a", "odd_b", "size_a", "size_b").mapInArrow(likely, "a long, b long"), "likely", 2_000)
+    found = materialized(of(left, "of").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long").distinct(), "alike", 64)
+    discard(known, left)
+    return found
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> DataFrame:
     """doc_id, h (hash of the text), root: one row per row of ``docs``; rows of one component have one root."""
-    rows = materialized(fingerprints(docs, id_col, text_col, words, sampled=True), "fingerprints")
-    near = materialized(_clustered(rows.drop("samples"), radius).select("doc_id", "h", "root"), "near")
-    each = rows.select("h", F.explode("samples").alias("s"))
-    groups = each.groupBy("s").agg(F.min("h").alias("b"), F.max("h").alias("last"), F.count("*").alias("n")).where("b < last").drop("last")
-    met = with_hot_rows_broadcast(each, materialized(groups, "samples"), "s", "n", rows.count() * ORDERS)
-    near = _linked(docs, near, met.where("b <> h").select(F.col("h").alias("a"), "b").distinct(), text_col, words)
-    return _linked(docs, near, _prefix_pairs(docs, near, text_col, words), text_col, words)
+    texts = docs.select(text_hash(text_col).alias("h"), text_of(text_col).alias("text"))
+    order = sampled_order(texts, docs.count(), words)
+    rows = materialized(fingerprints(docs, id_col, text_col, words, order), "fingerprints")
+    both = materialized(_clustered(rows, radius).select("doc_id", "h", "root", "n", "prefix"), "clustered")
+    near = materialized(both.select("doc_id", "h", "root"), "near")
+    sets = _refined(materialized(both.select("h", "n", "prefix", "root").dropDuplicates(["h"]), "sets"), texts, order, words)
+    discard(rows, both)
+
+    each = sets.select("h", "n", "root", F.posexplode("prefix").alias("i", "t"))
+    firsts = each.groupBy("t").agg(F.min(F.struct("i", "h", "n", "root")).alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"))
+    firsts = materialized(firsts.where("lo <> hi").select("t", "first", "c"), "prefix-firsts")
+    met = materialized(with_hot_rows_broadcast(each, firsts, "t", "c", sets.agg(F.sum(F.size("prefix"))).first()[0] or 0).where("c is not null").drop("c"), "prefixes")
+    discard(sets, firsts)
+
+    # The sizes allow the similarity, and the first shingle that a similar pair has in common has enough of both sets behind it.
+    size = lambda m, n: F.least(m, n) >= SIMILARITY * F.greatest(m, n) - 1e-6
+    place = lambda m, i, n, j: F.least(m - i, n - j) >= SIMILARITY / (1 + SIMILARITY) * (m + n) - 1e-6
+    one, c = F.col("first"), F.col
+    toward = met.where((c("root") != one["root"]) & size(c("n"), one["n"]) & place(c("n"), c("i"), one["n"], one["i"]))
+    toward = materialized(toward.select(c("h").alias("a"), one["h"].alias("b"), c("root").alias("ra"), one["root"].alias("rb")).distinct(), "toward-first")
+    found = _verified(texts, toward.select("a", "b"), "h", "text", words)
+    edges = materialized(toward.join(found, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+    near, older = _with_renamed(near, edges), near
+    left = _with_renamed(met.drop("first"), edges)
+    discard(older, met, toward, found, edges)
+
+    apart = left.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("t", "c")
+    left, older = materialized(with_hot_rows_broadcast(left, materialized(apart, "apart"), "t", "c", left.count()).where("c is not null").drop("c"), "left"), left
+    discard(older)
+    side = lambda to: left.select("t", *[F.col(x).alias(f"{x}_{to}") for x in ("h", "root", "n", "i")])
+    pairs = side("a").join(side("b"), "t").where((c("root_a") < c("root_b")) & size(c("n_a"), c("n_b")) & place(c("n_a"), c("i_a"), c("n_b"), c("i_b")))
+    pairs = materialized(pairs.select(c("h_a").alias("a"), c("h_b").alias("b"), c("root_a").alias("ra"), c("root_b").alias("rb")).distinct(), "pairs")
+    found = _verified(texts, pairs.select("a", "b"), "h", "text", words)
+    edges = materialized(pairs.join(found, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+    out = _with_renamed(near, edges)
+    discard(near, left, pairs, found, edges)
+    return out
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:

@@ -127,7 +127,8 @@ def test_near_copies_are_found_and_others_left(spark):
     assert all(out[i] in (i, i - i % 10) for i in near)
 
 
-def test_verification_is_exact(spark):
+def test_verification_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TOGETHER", 1)
     docs = frame(spark, [(1, "a b c d e f g h i j k l m n"), (2, "a b c d e f g h i j k l m n o"), (3, "a b c d e f g x i j k l m n")])
     pairs = spark.createDataFrame([(2, 1), (3, 1)], "a long, b long")
     assert [tuple(r) for r in simhash._verified(docs, pairs, "doc_id", "text", 5).collect()] == [(2, 1)]
@@ -173,6 +174,28 @@ def test_pairs_inside_a_template_family_are_all_found(spark):
     assert [out[i] for i in range(len(texts))] == want
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text with up to 40 words changed, some of them passages that others share: links of 0.8 alone count."""
+    monkeypatch.setattr(simhash, "COUNTED", 100)
+    monkeypatch.setattr(simhash, "HEAVY", 3)
+    rng = np.random.default_rng(12)
+    base = [f"b{w}" for w in rng.integers(0, 10**6, 150)]
+    passage = [f"p{w}" for w in range(30)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 8)) if k % 2 else int(rng.integers(8, 40)), replace=False):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    for k in range(200):
+        texts.append(" ".join([*passage[: int(rng.integers(10, 30))], *[f"o{w}" for w in rng.integers(0, 10**6, int(rng.integers(5, 60)))]]))
+    rng.shuffle(texts)
+    out = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, list(enumerate(texts)))).collect()}
+    want = brute_classes(texts)
+    assert [out[i] for i in range(len(texts))] == want
+    assert 50 < max(Counter(want).values()) < 300
+
+
 def test_short_pairs_at_the_least_similarity_are_all_found(spark):
     texts = []
     for k in range(120):  # 5 distinct shingles, or 4 of them: a similarity of 0.8 exactly
