@@ -3,16 +3,21 @@
 The token share of each source is raised to an exponent between 0 (all sources alike) and 1 (as they are) and normalised.
 The exponent is found by bisection, so that the entropy of the weights meets a target, or so that no source must be repeated
 more than a limit allows; with both, the flatter mix that still keeps the limit's bound is taken. The budget is the least
-at which every source gives each of its documents at least once, so nothing is lost. A source's quota is realised by block
-permutations: its documents are dealt into blocks by hash, blocks and documents within them are in hashed order; whole
-passes over the source are taken while the quota lasts, and of the last pass the blocks, then the documents of one block,
-that fit the rest of the quota.
+at which every source gives each of its documents at least once, so nothing is lost.
 
-Only DataFrame operations touch rows; the driver sees one row per source, of which there may be ``MAX_SOURCES`` (checked).
+A source's quota is realised by block permutations: its documents are dealt into blocks, and every pass over the source goes
+through the blocks, and through the documents of a block, in an order of its own. Whole passes are taken while the quota lasts;
+of the last one the blocks, then the documents of one block, that come first and fit the rest of the quota. A row's place
+in its source's sequence, as a share of the source's budget, is its place in the mix (``mix_key``): read in that order, any
+stretch of the mix has the sources at their weights.
+
+Only DataFrame operations touch rows. The driver sees one row per source; with more than ``MAX_SOURCES`` of them it sees sums
+only, one of each step of the bisection.
 
 Defined cases: a null text is empty and has no tokens; a null source is a source of its own; sources without any token,
-and sources that the plan does not name, are passed once; null and repeated ids are rows like any other; an empty table gives an empty result; further columns pass
-through ``mixed``.
+and sources that the plan does not name, are passed once; null and repeated ids are rows like any other (a row is known by a
+number of its own); ties can't occur in the orders but by chance of a hash, and then the number decides; an empty table gives
+an empty result; further columns pass through ``mixed``.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialized, text_of, words_of
+from .common import discard, materialized, text_of, words_of
 
 MAX_SOURCES = 100_000
 #: About so many documents of a block; order within a block needs a sort of that block only.
@@ -34,9 +39,12 @@ TARGET, MAX_PASSES = 0.5, 4.0
 
 @dataclass(frozen=True)
 class Plan:
+    """``passes`` of each source; none where there are too many sources, then they follow from the exponent and the largest source."""
+
     exponent: float
     weights: dict[str | None, float]
-    passes: dict[str | None, float]
+    passes: dict[str | None, float] | None
+    largest: int = 0
 
 
 def entropy(weights: list[float]) -> float:
@@ -78,43 +86,96 @@ def plan(tokens: dict[str | None, int], target: float = TARGET, max_passes: floa
     return Plan(exponent, dict(zip(names, tempered(shares, exponent))), dict.fromkeys(tokens, 1.0) | dict(zip(names, passes(exponent))))
 
 
+def _sums(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
+    tokens = F.size(words_of(text_of(text_col))).cast("long")
+    return docs.select(F.col(source_col).cast("string").alias("source"), tokens.alias("n")).groupBy("source").agg(F.sum("n").alias("n"))
+
+
 def source_tokens(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> dict[str | None, int]:
-    sums = docs.select(F.col(source_col).cast("string").alias("source"), F.size(words_of(text_of(text_col))).alias("n")).groupBy("source").agg(F.sum("n").alias("n"))
-    found = sums.limit(MAX_SOURCES + 1).collect()
+    """Tokens of each source, for up to ``MAX_SOURCES`` sources."""
+    found = _sums(docs, source_col, text_col).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+        raise ValueError(f"more than {MAX_SOURCES} sources: use plan_of")
     return {r["source"]: int(r["n"]) for r in found}
 
 
-def schedule(docs: DataFrame, the_plan: Plan, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs`` and pass: doc_id, source, tokens, epoch (from 0), epochs (of this row), block, mix_key (order by it)."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words_of(text_of(text_col))).cast("long").alias("tokens"))
-    slim = materialized(slim.withColumn("h", F.xxhash64("doc_id", F.lit("mix"))), "mix-rows")
+def plan_of(docs: DataFrame, target: float = TARGET, max_passes: float = MAX_PASSES, source_col: str = "source", text_col: str = "text") -> Plan:
+    """The plan for the sources of ``docs``, however many there are."""
+    sums = materialized(_sums(docs, source_col, text_col), "source-tokens")
+    n = sums.count()
+    if n <= MAX_SOURCES:
+        out = plan({r["source"]: int(r["n"]) for r in sums.collect()}, target, max_passes)
+    else:
+        some = sums.where("n > 0")
+        count, total, most, least = some.agg(F.count("*"), F.sum("n"), F.max("n"), F.min("n")).first()
+
+        def bits(exponent: float) -> float:
+            """Entropy of the tempered weights: log2 of the sum of powers, less their mean exponent."""
+            raised = F.pow(F.col("n") / most, F.lit(exponent))
+            z, mean = some.agg(F.sum(raised), F.sum(raised * F.log2(raised))).first()
+            return math.log2(z) - mean / z
+
+        if not count:
+            out = Plan(1.0, {}, None, 0)
+        else:
+            now = bits(1.0)
+            aim = now + target * (math.log2(count) - now)
+            exponent = max(bisect(lambda a: bits(a) <= aim, 40), bisect(lambda a: (least / most) ** (a - 1) <= max_passes))
+            out = Plan(exponent, {}, None, int(most))
+    discard(sums)
+    return out
+
+
+def _numbered(docs: DataFrame, label: str) -> DataFrame:
+    return materialized(docs.withColumn("nr", F.monotonically_increasing_id()), label)
+
+
+def _schedule(slim: DataFrame, the_plan: Plan) -> DataFrame:
+    """nr, source, tokens, epoch, epochs, block and mix_key of the rows (nr, source, tokens), each as often as it is passed."""
+    spark = slim.sparkSession
+    # What stands in these tables once for each source is broadcast if the number of sources is bounded.
+    hinted = F.broadcast if the_plan.passes is not None else (lambda df: df)
     sizes = slim.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("total"))
-    wanted = spark.createDataFrame([(k, float(p)) for k, p in the_plan.passes.items()], "name string, passes double")
-    # One row per source, of at most MAX_SOURCES.
-    planned = sizes.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("passes", F.coalesce("passes", F.lit(1.0)))
-    quota = planned.select(
-        F.col("source").alias("name"), F.ceil(F.col("docs") / BLOCK_DOCS).alias("blocks"), F.floor("passes").cast("int").alias("whole"),
-        F.floor((F.col("passes") - F.floor("passes")) * F.col("total") + F.lit(1e-6)).cast("long").alias("rest"),
-    )
-    dealt = slim.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("name"))).withColumn("block", F.pmod("h", "blocks"))
-    sums = dealt.groupBy("name", "block").agg(F.sum("tokens").alias("in_block"))
-    before = sums.withColumn("before", F.sum("in_block").over(Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("name").alias("b_name"), F.col("block").alias("b_block"), F.coalesce("before", F.lit(0)).alias("before"))
-    placed = dealt.join(before, F.col("name").eqNullSafe(F.col("b_name")) & (F.col("block") == F.col("b_block")))
-    within = F.sum("tokens").over(Window.partitionBy("name", "block").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0))
-    fits = (F.col("before") + within <= F.col("rest")) & (F.col("tokens") > 0)
-    counted = placed.withColumn("epochs", F.col("whole") + F.when(fits, 1).otherwise(0))
-    each = counted.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    return each.select("doc_id", "source", "tokens", "epoch", "epochs", "block", F.xxhash64("doc_id", "epoch", F.lit("order")).alias("mix_key"))
-
-
-def mixed(docs: DataFrame, the_plan: Plan, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as the plan asks, with all their columns. Rows with one id are repeated alike."""
+    if the_plan.passes is not None:
+        wanted = spark.createDataFrame([(k, float(p)) for k, p in the_plan.passes.items()], "name string, passes double")
+        planned = sizes.join(hinted(wanted), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("passes", F.coalesce("passes", F.lit(1.0)))
+    else:
+        planned = sizes.withColumn("passes", F.when(F.col("total") > 0, F.pow(F.col("total") / the_plan.largest, F.lit(the_plan.exponent - 1))).otherwise(1.0))
+    whole = F.floor(F.col("passes") + 1e-9)
+    rest = F.greatest(F.floor((F.col("passes") - whole) * F.col("total") + F.lit(1e-6)), F.lit(0)).cast("long")
+    quota = planned.select(F.col("source").alias("name"), F.ceil(F.col("docs") / BLOCK_DOCS).alias("blocks"), whole.cast("int").alias("whole"), rest.alias("rest"), "total")
+    quota = materialized(quota, "quotas")
+    dealt = slim.join(hinted(quota), F.col("source").eqNullSafe(F.col("name"))).withColumn("block", F.pmod(F.xxhash64("nr", F.lit("block")), "blocks"))
+    passes = F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0) - 1
+    each = dealt.withColumn("epoch", F.explode(F.sequence(F.lit(0), passes)))
+    # The blocks of each pass in the order of that pass, and what stands before them.
+    sums = dealt.groupBy("name", "block", "whole", "rest").agg(F.sum("tokens").alias("in_block")).withColumn("epoch", F.explode(F.sequence(F.lit(0), passes)))
+    order = Window.partitionBy("name", "epoch").orderBy(F.xxhash64("name", "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("name").alias("b_name"), F.col("block").alias("b_block"), F.col("epoch").alias("b_epoch"), F.coalesce(F.sum("in_block").over(order), F.lit(0)).alias("before"))
+    placed = each.join(before, F.col("name").eqNullSafe(F.col("b_name")) & (F.col("block") == F.col("b_block")) & (F.col("epoch") == F.col("b_epoch")))
+    within = Window.partitionBy("name", "block", "epoch").orderBy(F.xxhash64("nr", "epoch"), "nr").rowsBetween(Window.unboundedPreceding, 0)
+    told = placed.withColumn("through", F.col("before") + F.sum("tokens").over(within))
+    taken = told.where((F.col("epoch") < F.col("whole")) | ((F.col("through") <= F.col("rest")) & (F.col("tokens") > 0)))
+    budget = F.greatest(F.col("total") * F.col("whole") + F.col("rest"), F.lit(1))
+    key = (F.col("epoch") * F.col("total") + F.col("through") - F.col("tokens")) / budget
+    return taken.select("nr", "source", "tokens", "epoch", "block", key.alias("mix_key"))
+
+
+def schedule(docs: DataFrame, the_plan: Plan, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs`` and pass: doc_id, source, tokens, epoch (from 0), block, mix_key (order by it; 0 to 1)."""
+    tokens = F.size(words_of(text_of(text_col))).cast("long")
+    slim = _numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), tokens.alias("tokens")), "mix-rows")
+    ids = slim.select(F.col("nr").alias("_nr"), "doc_id")
+    made = _schedule(slim.select("nr", "source", "tokens"), the_plan)
+    return made.join(ids, F.col("nr") == F.col("_nr")).select("doc_id", "source", "tokens", "epoch", "block", "mix_key")
+
+
+def mixed(docs: DataFrame, the_plan: Plan, source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, each as often as the plan asks, with all their columns."""
     names = docs.columns
-    times = schedule(docs, the_plan, id_col, source_col, text_col).where("epoch = 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src")).agg(F.max("epochs").alias("_times"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_key"), F.col(source_col).cast("string").alias("_from"))
-    joined = rows.join(times, F.col("_key").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_src")))
-    return joined.withColumn("_epoch", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    tokens = F.size(words_of(text_of(text_col))).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(source_col).cast("string").alias("source"), tokens.alias("tokens"))
+    rows = _numbered(rows, "mix-documents")
+    times = _schedule(rows.select("nr", "source", "tokens"), the_plan).groupBy(F.col("nr").alias("_nr")).agg(F.count("*").cast("int").alias("_times"))
+    again = rows.join(times, F.col("nr") == F.col("_nr")).withColumn("_epoch", F.explode(F.sequence(F.lit(1), "_times")))
+    return again.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])

@@ -40,7 +40,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return mixing.schedule(docs, mixing.plan(mixing.source_tokens(docs)))
+    return mixing.schedule(docs, mixing.plan_of(docs))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,43 @@ def test_mixed_repeats_rows(spark):
     the_plan = mixing.Plan(0.5, {}, {"src0": 1.0, "src1": 1.5, "src2": 2.0})
     n = Counter(r.source for r in mixing.mixed(docs, the_plan).collect())
     assert n == {"src0": 30, "src1": 45, "src2": 58, None: 1}
+
+
+def test_each_pass_has_an_order_of_its_own_and_prefixes_keep_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 10)
+    docs = frame(spark, [(i, "a b c d") for i in range(600)])
+    the_plan = mixing.Plan(0.5, {}, {"src0": 1.0, "src1": 2.5, "src2": 3.5})
+    rows = [r for r in mixing.schedule(docs, the_plan).collect() if r.source]
+    blocks = {}
+    for r in sorted(rows, key=lambda r: r.mix_key):
+        blocks.setdefault((r.source, r.epoch), []).append(r.block)
+    orders = {k: list(dict.fromkeys(v)) for k, v in blocks.items()}
+    for k, v in blocks.items():
+        assert v == [b for b in orders[k] for _ in range(v.count(b))]  # a block at a time
+    assert orders["src2", 0] != orders["src2", 1] != orders["src2", 2] and sorted(orders["src2", 0]) == sorted(orders["src2", 1])
+    assert orders["src1", 2] != sorted(orders["src1", 0])[: len(orders["src1", 2])]  # the last pass isn't always the lowest blocks
+    inside = [[r.doc_id for r in sorted(rows, key=lambda r: r.mix_key) if (r.source, r.block, r.epoch) == ("src2", orders["src2", 0][0], e)] for e in (0, 1)]
+    assert inside[0] != inside[1] and sorted(inside[0]) == sorted(inside[1])
+    share = Counter(r.source for r in rows)
+    early = Counter(r.source for r in rows if r.mix_key < 0.3)
+    assert all(abs(early[s] - 0.3 * n) <= 2 for s, n in share.items())
+
+
+def test_rows_without_an_id_meet_their_quotas(spark):
+    rows = spark.createDataFrame([(None if i % 2 else 7, "a b", "s" if i % 3 else "t") for i in range(3000)], "doc_id long, text string, source string")
+    the_plan = mixing.Plan(0.5, {}, {"s": 1.0, "t": 2.5})
+    assert Counter(r.source for r in mixing.mixed(rows, the_plan).collect()) == {"s": 2000, "t": 2500}
+    blocks = Counter((r.source, r.block) for r in mixing.schedule(rows, the_plan).where("epoch = 0").collect())
+    assert max(blocks.values()) <= 1.2 * mixing.BLOCK_DOCS
+
+
+def test_more_sources_than_the_driver_holds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 9}") for i in range(180)] + [(900, None, "none")], "doc_id long, text string, source string")
+    few = mixing.plan_of(docs)
+    want = Counter((r.doc_id, r.epoch) for r in mixing.schedule(docs, few).collect())
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    many = mixing.plan_of(docs)
+    assert many.passes is None and abs(many.exponent - few.exponent) < 1e-9
+    assert Counter((r.doc_id, r.epoch) for r in mixing.schedule(docs, many).collect()) == want
+    with pytest.raises(ValueError):
+        mixing.source_tokens(docs)
