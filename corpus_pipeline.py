@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at tempered weights; rows of small sources are repeated, none is lost."""
-    return mixing.mixed(docs, mixing.plan(mixing.source_tokens(docs)))
+    return mixing.mixed(docs, mixing.plan_of(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
