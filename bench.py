@@ -46,7 +46,8 @@ def throughput(spark: SparkSession) -> dict[str, int]:
         run(estimate.cardinality(rows, ("groupLabel",), exact=False))
         out[f"hash_and_sketch_{labels}_labels_per_s"] = round(n / run(estimate.cardinality(rows, ("groupLabel",), exact=False)))
         rows.unpersist()
-    body = wire.encode([[*((f"label{i}", f"val{i:05d}_" + "x" * 20) for i in range(20)), ("groupLabel", "1")]] * 5000)
+    # Values carry the number of the series, so no two series of a body are alike.
+    body = wire.encode([[*((f"label{i}", f"val{k:05d}_" + "x" * 20) for i in range(20)), ("groupLabel", str(k % 3))] for k in range(5000)])
     n = 64
     requests = spark.range(n, numPartitions=n).select(F.col("id").alias("request"), F.lit(bytearray(body)).alias("body"))
     run(wire.read_requests(requests))

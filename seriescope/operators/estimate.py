@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import StreamSpec
+from .limit import enforced
 from .series import contributes, fingerprint, group_key, grouped
 
 
@@ -51,5 +52,8 @@ def assigned(series: DataFrame, specs: Sequence[StreamSpec], *more: str) -> Data
 
 
 def multi_stream(series: DataFrame, specs: Sequence[StreamSpec]) -> DataFrame:
-    """stream, key, value for several streams from one scan."""
-    return assigned(series, specs).groupBy("stream", "key").agg(F.count_distinct("fp").alias("value"))
+    """stream, key, value for several streams from one scan, of all rows as one generation. Of a stream with more groups than its
+    limit, those that arrive first count (by the column ``arrival``, if there is one, else by their keys)."""
+    arrival = F.col("arrival") if "arrival" in series.columns else F.lit(0).cast("long")
+    rows = assigned(series.withColumn("arrival", arrival), specs, "arrival").withColumn("gen", F.lit(0).cast("long"))
+    return enforced(rows, specs)[0].groupBy("stream", "key").agg(F.count_distinct("fp").alias("value"))

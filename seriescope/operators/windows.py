@@ -4,27 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import StreamSpec
 from .estimate import assigned, error_bound
+from .generations import at_us, epoch_us, generation
+from .limit import enforced
 from .series import grouped
 
 
-def epoch_us(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
-def generation(ts: Column, half_us: int, shift: Column | int = 0) -> Column:
-    """Number of the half interval on the grid from the Unix epoch; ``shift`` moves the grid (microseconds)."""
-    return F.floor((epoch_us(ts) - shift) / F.lit(half_us)).cast("long")
-
-
-def at_us(us: Column) -> Column:
-    return F.timestamp_micros(us).cast("timestamp_ntz")
-
-
 def windowed(series: DataFrame, spec: StreamSpec) -> DataFrame:
     """key, window_start, window_end, value: estimates at the end of every generation in which a group is alive."""
     rows = grouped(series, spec.group_by, "ts").select("key", "fp", generation(F.col("ts"), spec.half_us).alias("gen")).distinct()
@@ -60,10 +49,13 @@ def as_of(series: DataFrame, spec: StreamSpec, us: int, reset_us: int | None = N
 
 def estimates(series: DataFrame, specs: Sequence[StreamSpec], exact: bool = True) -> DataFrame:
     """as_of, interval, group_by_keys, group_by_values, value: all streams at the end of every generation, from one scan,
-    with a summary row (keys ``__group__``) for grouped streams."""
-    rows = assigned(series, specs, "ts")
+    with a summary row (keys ``__group__``) for grouped streams. Groups beyond a stream's limit count in its summary only."""
+    arrival = F.col("arrival") if "arrival" in series.columns else epoch_us(F.col("ts"))
+    rows = assigned(series.withColumn("arrival", arrival), specs, "ts", "arrival")
     halves = F.create_map(*[x for i, s in enumerate(specs) for x in (F.lit(i), F.lit(s.half_us))])
-    rows = rows.select("stream", "key", "fp", halves[F.col("stream")].alias("half"), F.floor(epoch_us(F.col("ts")) / halves[F.col("stream")]).cast("long").alias("gen"))
+    rows = rows.select("stream", "key", "fp", halves[F.col("stream")].alias("half"), F.floor(epoch_us(F.col("ts")) / halves[F.col("stream")]).cast("long").alias("gen"), "arrival")
+    rows, rejected = enforced(rows, specs)
+    rows = rows.drop("arrival")
     both = F.explode(F.array(F.col("gen"), F.col("gen") + 1))
     if exact:
         counts = rows.distinct().withColumn("gen", both).groupBy("stream", "key", "half", "gen").agg(F.count_distinct("fp").alias("value"))
@@ -77,7 +69,11 @@ def estimates(series: DataFrame, specs: Sequence[StreamSpec], exact: bool = True
         for other in parts[1:]:
             counts = counts.unionAll(other)
     name = lambda values: F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(i), F.lit(v))])[F.col("stream")]
-    dated = counts.select("stream", "key", "value", at_us((F.col("gen") + 1) * F.col("half")).alias("as_of"), name([s.interval_text for s in specs]).alias("interval"), name([s.keys_text for s in specs]).alias("group_by_keys"))
-    lines = dated.select("as_of", "interval", "group_by_keys", F.array_join("key", ",").alias("group_by_values"), "value")
-    sums = dated.where(F.size("key") > 0).groupBy("as_of", "interval", "group_by_keys").agg(F.count("*").alias("value"))
+    when = at_us((F.col("gen") + 1) * halves[F.col("stream")]).alias("as_of")
+    named = [when, name([s.interval_text for s in specs]).alias("interval"), name([s.keys_text for s in specs]).alias("group_by_keys")]
+    lines = counts.select(*named, F.array_join("key", ",").alias("group_by_values"), "value")
+    groups = counts.where(F.size("key") > 0).select(*named)
+    if rejected is not None:
+        groups = groups.unionAll(rejected.select(*named))
+    sums = groups.groupBy("as_of", "interval", "group_by_keys").agg(F.count("*").alias("value"))
     return lines.unionAll(sums.select("as_of", "interval", F.lit("__group__").alias("group_by_keys"), F.col("group_by_keys").alias("group_by_values"), "value"))

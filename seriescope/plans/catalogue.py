@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,8 +12,9 @@ from ..functions import exposition
 from ..operators import analytics, estimate, limit, sketches, windows
 from ..operators.series import flat
 from ..sources import tables, wire
-from ..streaming import runner
-from .spec import StreamSpec
+from ..sources.folders import shared_dir
+from ..streaming import job, runner
+from .spec import StreamSpec, load
 
 NAME, USER = ("__name__",), ("user_id",)
 DAY = StreamSpec(interval="24h", group_by=NAME)
@@ -28,7 +28,11 @@ LIMIT, MONTH_LIMIT = 50, StreamSpec(interval="720h", group_by=USER, group_limit=
 STAGGERED = StreamSpec(interval="24h", group_by=NAME, buckets=4)
 STREAMS = [DAY_GLOBAL, DAY, StreamSpec(interval="24h", group_by=USER)]
 #: Thresholds of the alerts, scaled to the tables; conditions are checked once a generation.
-HIGH, CHURN, USAGE, HOLD_S, STEP_S = 60, 20.0, 0.8, 86_400, HALF // 1_000_000
+HIGH, USAGE, HOLD_S, STEP_S = 60, 0.8, 86_400, HALF // 1_000_000
+#: A share of churn that the tables exceed; churn is known at the ends of the longer stream's generations only.
+HIGH_CHURN, CHURN_STEP_S = 45.0, TWO_DAYS.half_us // 1_000_000
+#: The streams of the whole job, as its configuration says them.
+CONFIG = "streams:\n- {interval: 24h}\n- {interval: 24h, group_by: [__name__], labels: {dc: one}}\n- {interval: 24h, group_by: [user_id], group_limit: 60}\n"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +243,7 @@ def alert_high_cardinality(spark, sf_dir):
 
 
 def alert_high_churn(spark, sf_dir):
-    return analytics.alerts(churn_pct_by_group(spark, sf_dir), F.col("churn_pct") > CHURN, HOLD_S, STEP_S, ["group_by_keys", "group_by_values"])
+    return analytics.alerts(churn_pct_by_group(spark, sf_dir), F.col("churn_pct") > HIGH_CHURN, HOLD_S, CHURN_STEP_S, ["group_by_keys", "group_by_values"])
 
 
 def alert_limit_near(spark, sf_dir):
@@ -258,7 +262,7 @@ def exposition_lines(spark, sf_dir):
 def stream_vs_batch(spark, sf_dir):
     """Windows for which a stream over the same events ends with another result than the batch: none."""
     events = tables.table(spark, sf_dir, "events")
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seriescope-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = runner.hopping(tables.from_events(source), DAY)
     runner.start(out, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/state", "complete", once=True).awaitTermination()
@@ -269,8 +273,8 @@ def stream_vs_batch(spark, sf_dir):
     return both.agg(F.count("*").alias("windows"), F.count_if(~F.col("value").eqNullSafe(F.col("streamed"))).alias("differ"))
 
 
-def wire_decode(spark, sf_dir):
-    """Events written as remote-write requests (one per hundred ids, both codecs in turn), decoded and counted."""
+def _requests(spark, sf_dir) -> DataFrame:
+    """Events written as remote-write requests, one per hundred ids, both codecs in turn: request, ts (of its first event), body."""
     series = _events(spark, sf_dir)
 
     def pack(table):
@@ -278,13 +282,44 @@ def wire_decode(spark, sf_dir):
 
         request = table.column("request")[0].as_py()
         rows = [[(x["name"], x["value"]) for x in r] for r in table.column("labels").to_pylist()]
-        return pa.table({"request": pa.array([request], pa.int64()), "body": [wire.encode(rows, "zstd" if request % 2 else "snappy")]})
+        first = pa.compute.min(table.column("ts")).cast(pa.timestamp("us"))
+        return pa.table({"request": pa.array([request], pa.int64()), "ts": pa.array([first.as_py()], pa.timestamp("us")), "body": [wire.encode(rows, "zstd" if request % 2 else "snappy")]})
+
+    return series.select("labels", "ts", F.floor(F.col("arrival") / 100).alias("request")).groupBy("request").applyInArrow(pack, "request long, ts timestamp_ntz, body binary")
+
 
-    requests = series.select("labels", F.floor(F.col("arrival") / 100).alias("request")).groupBy("request").applyInArrow(pack, "request long, body binary")
-    decoded = wire.read_requests(requests).where("error is null")
+def wire_decode(spark, sf_dir):
+    """Requests decoded and counted."""
+    decoded = wire.read_requests(_requests(spark, sf_dir)).where("error is null")
     return flat(estimate.cardinality(decoded, NAME), NAME)
 
 
+def requests_to_lines(spark, sf_dir):
+    """The whole job in one step: requests and a configuration in, lines of all streams out."""
+    specs, said = load(CONFIG), []
+    job.stepper(f"{shared_dir(spark)}/job-{uuid.uuid4().hex}", specs, lambda lines, epoch: said.append(lines))(_requests(spark, sf_dir), 0)
+    return said[0]
+
+
+def limited_estimates(spark, sf_dir):
+    """Estimates at the end of every generation, of a stream whose limit is reached."""
+    return windows.estimates(_events(spark, sf_dir), [BY_USER])
+
+
+def limited_multi_stream(spark, sf_dir):
+    specs = [DAY_GLOBAL, DAY, StreamSpec(interval="24h", group_by=USER, group_limit=LIMIT)]
+    return estimate.multi_stream(_events(spark, sf_dir), specs).select("stream", F.array_join("key", ",").alias("group_by_values"), "value")
+
+
+def snapshot_two_generations(spark, sf_dir):
+    """The state of a job at a moment, written out and merged: live groups only, of two generations."""
+    return flat(sketches.merged(sketches.snapshot(_events(spark, sf_dir), BY_USER, MOMENT)).select("key", "value"), USER)
+
+
+def snapshot_limits(spark, sf_dir):
+    return sketches.merged_limits(sketches.snapshot(_events(spark, sf_dir), BY_USER, MOMENT))
+
+
 EV = """ev as (select event_id, ts, event_type as n, cast(user_id as varchar) as u, user_id, epoch_us(ts) as us,
     event_type || chr(31) || user_id || chr(31) || coalesce(json_extract_string(props, '$.k'), chr(30)) as fp from events)"""
 
@@ -324,30 +359,41 @@ def _churn_sql(keys: str) -> str:
 GROUP_CHURN = f"with {EV}, {GROUPED_EST}, {_churn_sql('as_of, group_by_keys, group_by_values')}"
 
 
-def _alert_sql(rows: str, condition: str, keys: str) -> str:
+def _alert_sql(rows: str, condition: str, keys: str, step: int = STEP_S) -> str:
     return f"""hits as (select *, epoch(as_of) as s from {rows} where {condition}),
-    marked as (select *, case when s - lag(s) over (partition by {keys} order by as_of) <= {STEP_S} then 0 else 1 end as fresh from hits),
+    marked as (select *, case when s - lag(s) over (partition by {keys} order by as_of) <= {step} then 0 else 1 end as fresh from hits),
     islands as (select *, sum(fresh) over (partition by {keys} order by as_of) as island from marked)
     select {keys}, min(as_of) as since, max(as_of) as until from islands group by {keys}, island having max(s) - min(s) >= {HOLD_S}"""
 
 
-#: Admission over all generations, one after the other: the list of admitted users travels along.
-HISTORY = f"""seen as (select u, {_gen(HALF)} as gen, min(event_id) as f from ev group by all),
-    gens as (select gen, list(u order by f, u) as us from seen group by gen),
+def _history(limit: int, half: int, seen: str = "min(event_id)") -> str:
+    """Admission over all generations, one after the other: the list of admitted users travels along."""
+    return f"""seen as (select u, {_gen(half)} as gen, {seen} as f from ev group by all),
+    span as (select unnest(range(min(gen), max(gen) + 1)) as gen from seen),
+    gens as (select span.gen, coalesce(list(u order by f, u) filter (u is not null), []) as us from span left join seen using (gen) group by span.gen),
     run as (
-        select gen, us, us[1:{BY_USER.group_limit}] as adm, []::varchar[] as before from gens where gen = (select min(gen) from gens)
+        select gen, us, us[1:{limit}] as adm, []::varchar[] as before from gens where gen = (select min(gen) from gens)
         union all
         select g.gen, g.us,
-            list_concat(list_filter(g.us, lambda x: list_contains(p.prev, x)), list_filter(g.us, lambda x: not list_contains(p.prev, x))[1:greatest(0, {BY_USER.group_limit} - len(p.prev))]),
+            list_concat(list_filter(g.us, lambda x: list_contains(p.prev, x)), list_filter(g.us, lambda x: not list_contains(p.prev, x))[1:greatest(0, {limit} - len(p.prev))]),
             p.prev
         from (select gen, adm as prev from run) p join gens g on g.gen = p.gen + 1
     ),
     hist as (
-        select gen, len(list_distinct(list_concat(adm, before))) as live, len(us) - len(adm) as rejected from run
+        select gen, len(list_distinct(list_concat(adm, before))) as live, len(us) - len(adm) as rejected from run where len(us) + len(before) > 0
         union all select gen + 1, len(adm), 0 from run where gen = (select max(gen) from gens)
     ),
+    ok as (select gen, unnest(adm) as u from run),
+    kept as (select ev.u, fp, ok.gen from ev join ok on ok.u = ev.u and ok.gen = {_gen(half)})"""
+
+
+HISTORY_HEAD = f"""with recursive {EV}, {_history(BY_USER.group_limit, HALF)},
     usage as (select make_timestamp((gen + 1) * {HALF}) as as_of, 'user_id' as group_by_keys, rejected, round((live + rejected) / {BY_USER.group_limit}, 6) as usage from hist)"""
-HISTORY_HEAD = f"with recursive {EV}, {HISTORY}"
+#: The same over the events up to a moment.
+UNTIL_HEAD = f"with recursive {EV.replace('ev as', 'every as', 1)}, ev as (select * from every where us <= {MOMENT}), {_history(BY_USER.group_limit, HALF)}"
+#: Events as they arrive with their requests.
+ARRIVED = """ev as (select event_type as n, cast(user_id as varchar) as u, event_id // 100 as request, epoch_us(min(ts) over (partition by event_id // 100)) as us,
+    event_type || chr(31) || user_id || chr(31) || coalesce(json_extract_string(props, '$.k'), chr(30)) as fp from events)"""
 
 MONTH = MONTH_LIMIT.half_us
 _NAMED = f"with {EV} select n as by_name, count(distinct fp) as value"
@@ -370,17 +416,7 @@ ORACLE_SQL: dict[str, str] = {
     "reset_cardinality": f"{_NAMED} from ev where us <= {MOMENT} and us >= {RESET} and {_gen(HALF)} >= {MOMENT // HALF - 1} group by n",
     "group_limit_single_gen": f"with {EV}, top as (select u, min(event_id) as f from ev group by u order by f, u limit {LIMIT}) select u as by_user_id, count(distinct fp) as value from ev semi join top using (u) group by u",
     "group_limit_rejected": f"select least(c, {LIMIT}) as live, c - least(c, {LIMIT}) as rejected, c as group_count, cast({LIMIT} as bigint) as group_limit from (select count(distinct user_id) as c from events)",
-    "group_limit_carryover": f"""with recursive {EV}, seen as (select u, {_gen(MONTH)} as gen, min(event_id) as f from ev group by all),
-        gens as (select gen, list(u order by f, u) as us from seen group by gen),
-        run as (
-            select gen, us[1:{MONTH_LIMIT.group_limit}] as adm from gens where gen = (select min(gen) from gens)
-            union all
-            select g.gen, list_concat(list_filter(g.us, lambda x: list_contains(p.prev, x)), list_filter(g.us, lambda x: not list_contains(p.prev, x))[1:greatest(0, {MONTH_LIMIT.group_limit} - len(p.prev))])
-            from (select gen, adm as prev from run) p join gens g on g.gen = p.gen + 1
-        ),
-        ok as (select gen, unnest(adm) as u from run),
-        kept as (select ev.u, fp, gen from ev join ok on ok.u = ev.u and ok.gen = {_gen(MONTH)})
-        select u as by_user_id, gen + a as gen, count(distinct fp) as value from kept, (values (0), (1)) t(a) group by 1, 2""",
+    "group_limit_carryover": f"with recursive {EV}, {_history(MONTH_LIMIT.group_limit, MONTH)} select u as by_user_id, gen + a as gen, count(distinct fp) as value from kept, (values (0), (1)) t(a) group by 1, 2",
     "group_limit_history": f"{HISTORY_HEAD} select gen, live, rejected, live + rejected as group_count from hist",
     "multi_stream_cardinality": f"""with {EV} select 0 as stream, '' as group_by_values, count(distinct fp) as value from ev
         union all select 1, n, count(distinct fp) from ev group by n union all select 2, u, count(distinct fp) from ev group by u""",
@@ -404,15 +440,29 @@ ORACLE_SQL: dict[str, str] = {
     "group_keys_cardinality": f"with {EV}, {GROUPED_EST}, {SELECTORS} select as_of, \"interval\", group_by_values, cast(sum(value) as bigint) as value from one where group_by_keys = '__group__' group by all",
     "label_values": f"with {EV}, {GROUPED_EST} select distinct group_by_values from est where \"interval\" = '24h0m0s' and group_by_keys <> '__group__' and regexp_full_match(group_by_values, '[a-p].*')",
     "alert_high_cardinality": f"with {EV}, {GROUPED_EST}, named as (select * from est where group_by_keys = '__name__' and \"interval\" = '24h0m0s'), {_alert_sql('named', f'value > {HIGH}', 'group_by_values')}",
-    "alert_high_churn": f"{GROUP_CHURN}, {_alert_sql('churn', f'churn_pct > {CHURN}', 'group_by_keys, group_by_values')}",
+    "alert_high_churn": f"{GROUP_CHURN}, {_alert_sql('churn', f'churn_pct > {HIGH_CHURN}', 'group_by_keys, group_by_values', CHURN_STEP_S)}",
     "alert_limit_near": f"{HISTORY_HEAD}, {_alert_sql('usage', f'usage > {USAGE}', 'group_by_keys')}",
     "alert_limit_reached": f"{HISTORY_HEAD}, {_alert_sql('usage', 'rejected > 0', 'group_by_keys')}",
     "exposition_lines": rf"""with {EV}, c as (select n, count(distinct fp) as v from ev group by n), h as (select 'cardinality_estimate{{interval="24h0m0s",az="1",dc="a\"b",group_by_keys=' as head)
-        select head || '"__name__",group_by_values="' || n || '",by___name__="' || n || '"}} ' || v as line from c, h
+        select head || '"__name__",group_by_values="' || n || '",by__name__="' || n || '"}} ' || v as line from c, h
         union all select any_value(head) || '"__group__",group_by_values="__name__"}} ' || count(*) from c, h
         union all select 'cardinality_group_limit{{interval="24h0m0s",group_by_keys="__group__",group_by_values="__name__"}} 10000'""",
     "stream_vs_batch": f"with {EV} select count(distinct (n, wg)) as windows, cast(0 as bigint) as differ from {_alive(HALF, 'n')}",
     "wire_decode": f"{_NAMED} from ev group by n",
+    "limited_estimates": f"""{HISTORY_HEAD} select make_timestamp((gen + a + 1) * {HALF}) as as_of, '24h0m0s' as "interval", 'user_id' as group_by_keys, u as group_by_values, count(distinct fp) as value from kept, (values (0), (1)) t(a) group by 1, 2, 3, 4
+        union all select make_timestamp((gen + 1) * {HALF}), '24h0m0s', '__group__', 'user_id', live + rejected from hist""",
+    "limited_multi_stream": f"""with {EV}, top as (select u, min(event_id) as f from ev group by u order by f, u limit {LIMIT}) select 0 as stream, '' as group_by_values, count(distinct fp) as value from ev
+        union all select 1, n, count(distinct fp) from ev group by n union all select 2, u, count(distinct fp) from ev semi join top using (u) group by u""",
+    "snapshot_two_generations": f"{UNTIL_HEAD} select u as by_user_id, count(distinct fp) as value from kept where gen >= {MOMENT // HALF - 1} group by u",
+    "snapshot_limits": f"""{UNTIL_HEAD} select '24h0m0s' as "interval", 'user_id' as group_by_keys, live, rejected, live + rejected as group_count, cast({BY_USER.group_limit} as bigint) as group_limit from hist where gen = {MOMENT // HALF}""",
+    "requests_to_lines": rf"""with recursive {ARRIVED}, {_history(60, HALF, "min(request)")}, last as (select max(gen) as g from gens), h as (select 'cardinality_estimate{{interval="24h0m0s",group_by_keys=' as head)
+        select head || '"__global__"}} ' || (select count(distinct fp) from ev, last where {_gen(HALF)} >= g - 1) as line from h
+        union all select 'cardinality_estimate{{interval="24h0m0s",dc="one",group_by_keys="__name__",group_by_values="' || n || '",by__name__="' || n || '"}} ' || count(distinct fp) from ev, last where {_gen(HALF)} >= g - 1 group by n
+        union all select 'cardinality_estimate{{interval="24h0m0s",dc="one",group_by_keys="__group__",group_by_values="__name__"}} ' || count(distinct n) from ev, last where {_gen(HALF)} >= g - 1
+        union all select 'cardinality_group_limit{{interval="24h0m0s",group_by_keys="__group__",group_by_values="__name__"}} 10000'
+        union all select any_value(head) || '"user_id",group_by_values="' || u || '",by_user_id="' || u || '"}} ' || count(distinct fp) from kept, last, h where gen >= g - 1 group by u
+        union all select head || '"__group__",group_by_values="user_id"}} ' || (live + rejected) from hist, last, h where gen = g
+        union all select 'cardinality_group_limit{{interval="24h0m0s",group_by_keys="__group__",group_by_values="user_id"}} 60'""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -423,5 +473,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         group_limit_history, multi_stream_cardinality, multi_interval_estimates, multi_interval_sketch_check, sketch_merge_equals_direct, node_merge_cardinality, node_merge_groups, windowed_sketch_union, churn_pct_global,
         churn_pct_by_group, topk_groups, topk_each_window, topk_churn, topk_exact_names, limit_usage, dedup_max_without_instance, total_by_interval, group_keys_cardinality, label_values, alert_high_cardinality,
         alert_high_churn, alert_limit_near, alert_limit_reached, exposition_lines, stream_vs_batch, wire_decode,
+        requests_to_lines, limited_estimates, limited_multi_stream, snapshot_two_generations, snapshot_limits,
     )
 } | {f"sketch_within_bound_p{p}": _sketch_check(p) for p in (10, 14, 18)}

@@ -176,7 +176,7 @@ def test_admissions_read_early_keys_only(spark):
             before = now
         got = [(r.gen, r.key[0], r.first_seen, r.admitted) for r in limit.admissions(groups, most).collect()]
         assert len(got) == len(rows) and set(got) == want
-        assert limit.earliest(groups, most).count() <= 5 * most
+        assert limit.earliest(groups.withColumn("stream", F.lit(0)), most).count() <= 5 * most
 
 
 def test_streams_share_a_scan(spark):
@@ -206,15 +206,26 @@ def test_sketches_merge(spark, tmp_path):
 
 
 def test_lines(spark):
-    special = {'a"b': r"a\"b", "a\\b": r"a\\b", "a\nb": r"a\nb", "a\tb": r"a\tb"}
+    special = {'a"b': r"a\"b", "a\\b": r"a\\b", "a\nb": r"a\nb", "a\tb": r"a\tb", "a\rb\a\b\f\v": r"a\rb\a\b\f\v", "\x00\x1b\x7f é漢": r"\x00\x1b\x7f é漢", "\u00a0\u200b\u2028": r"\u00a0\u200b\u2028", "\U000e0001\U0001f600": "\\U000e0001\U0001f600"}
     spec = StreamSpec(interval="10m", group_by=("foo",), group_limit=5, labels={"z": "1", "a": "2"})
     got = {r.line for r in exposition.lines(estimate.cardinality(at(spark, [({"foo": x}, 0) for x in special]), ("foo",)), spec).collect()}
     head = 'cardinality_estimate{interval="10m0s",a="2",z="1",group_by_keys='
     want = {f'{head}"foo",group_by_values="{x}",by_foo="{x}"}} 1' for x in special.values()}
-    assert got == want | {f'{head}"__group__",group_by_values="foo"}} 4', 'cardinality_group_limit{interval="10m0s",group_by_keys="__group__",group_by_values="foo"} 5'}
+    assert got == want | {f'{head}"__group__",group_by_values="foo"}} 8', 'cardinality_group_limit{interval="10m0s",group_by_keys="__group__",group_by_values="foo"} 5'}
+    assert [exposition._quote(x) for x in special] == [f'"{x}"' for x in special.values()]
     assert exposition.lines(estimate.cardinality(at(spark, [({}, 0)])), StreamSpec(interval="1h")).first().line == 'cardinality_estimate{interval="1h0m0s",group_by_keys="__global__"} 1'
 
 
+def test_the_name_of_the_metric_as_a_key(spark):
+    spec = StreamSpec(interval="10m", group_by=("__name__",), group_limit=12345)
+    got = {r.line for r in exposition.lines(estimate.cardinality(at(spark, [(x | {"__name__": "the_metric_name"}, m) for x, m in cross(10, 10, 10)]), ("__name__",), exact=False), spec).collect()}
+    assert got == {
+        'cardinality_estimate{interval="10m0s",group_by_keys="__name__",group_by_values="the_metric_name",by__name__="the_metric_name"} 1000',
+        'cardinality_estimate{interval="10m0s",group_by_keys="__group__",group_by_values="__name__"} 1',
+        'cardinality_group_limit{interval="10m0s",group_by_keys="__group__",group_by_values="__name__"} 12345',
+    }
+
+
 def test_wire(spark):
     series = [[("__name__", f"m{i}"), ("job", "é" * (i % 5)), ("empty", "")] for i in range(2500)]
     bodies = [(0, wire.encode(series)), (1, wire.encode(series, "zstd")), (2, b"\xff\xff"), (3, wire.encode(series)[:-10]), (4, None), (5, wire.encode([]))]
@@ -228,6 +239,143 @@ def test_wire(spark):
     assert {x.name for r in wire.read_requests(requests.where("request = 0"), wanted=frozenset(["job"])).collect() for x in r.labels} == {"job"}
 
 
+def test_wire_at_once_equals_field_by_field(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("ab漢é\0") for _ in range(rng.choice([0, 1, 5, 60, 200, 1500])))
+    for k in range(60):
+        series = [[(word() or "n", word() or "v") for _ in range(rng.randrange(6))] for _ in range(rng.randrange(30))]
+        message = b"".join(wire._field(1, b"".join(wire._field(1, wire._field(1, n.encode()) + wire._field(2, v.encode())) for n, v in x) + (wire._field(2, b"\x10\x01") if rng.random() < 0.8 else b"")) for x in series)
+        names, values, counts = wire.decode_at_once(message)
+        assert [list(zip(names[b - c : b].to_pylist(), values[b - c : b].to_pylist())) for b, c in zip(counts.cumsum().tolist(), counts.tolist())] == series
+        labels = wire.Labels()
+        for cut in (message[: rng.randrange(len(message) + 1)], message + bytes([rng.randrange(256) for _ in range(9)])):
+            quick = wire.decode_at_once(cut)
+            try:
+                slow = [[(labels.names[i], labels.values[i]) for i in x] for x in wire.decode(cut, labels)]
+            except ValueError:
+                slow = None
+            if quick is not None:
+                assert slow == [list(zip(quick[0][b - c : b].to_pylist(), quick[1][b - c : b].to_pylist())) for b, c in zip(quick[2].cumsum().tolist(), quick[2].tolist())]
+    broken = wire._field(1, wire._field(1, wire._field(1, b"n\xff") + wire._field(2, b"v")))
+    assert wire.decode_at_once(broken) is None and wire.decode_at_once(b"") is not None
+    swapped = wire._field(1, wire._field(1, wire._field(2, b"v") + wire._field(1, b"n")) + wire._field(3, b"ab"))
+    assert wire.decode_at_once(swapped) is None
+    body = wire.pa.compress(broken + swapped, codec="snappy", asbytes=True)
+    rows = wire.read_requests(spark.createDataFrame([("id", bytearray(body))], "request string, body binary")).collect()
+    assert [[tuple(x) for x in r.labels] for r in rows] == [[("n\ufffd", "v")], [("n", "v")]] and {r.request for r in rows} == {"id"}
+
+
+def test_limits_hold_for_each_stream(spark):
+    """Estimates of several streams under limits of their own, against the rule as it runs."""
+    rng = random.Random(21)
+    rows, trace = [], {}
+    for gen in range(5):
+        for _ in range(rng.randrange(4, 14)):
+            key, value = rng.choice("abcdefg"), str(rng.randrange(3))
+            rows.append(({"foo": key, "v": value}, gen * 5))
+            trace.setdefault(gen, []).append((key, value))
+    df = at(spark, rows)
+    specs = [StreamSpec(interval="10m", group_by=("foo",), group_limit=n) for n in (2, 4, 100)] + [StreamSpec(interval="10m")]
+    from datetime import datetime, timedelta
+
+    for i, most in enumerate((2, 4, 100)):
+        for exact in (True, False):
+            got = {}
+            for r in windows.estimates(df, [specs[i], specs[3]], exact).collect():
+                got.setdefault((r.as_of - datetime(2024, 1, 1)) // timedelta(minutes=5) - 1, {})[r.group_by_keys, r.group_by_values] = r.value
+            for gen, (shown, live, dropped) in model(trace, most).items():
+                assert {k[1]: v for k, v in got[gen].items() if k[0] == "foo"} == shown
+                assert got[gen]["__group__", "foo"] == live + dropped
+    firsts = list(dict.fromkeys(k for x in trace.values() for k, _ in x))
+    both = estimate.multi_stream(df, specs).collect()
+    for i, most in enumerate((2, 4, 100)):
+        assert {r.key[0] for r in both if r.stream == i} == set(firsts[:most])
+    assert limit.reach_limit(df.select(F.lit(2).alias("stream"), F.array(F.col("labels")[0]["value"]).alias("key"), F.lit(0).alias("gen")), specs) == []
+
+
+def test_a_long_history_runs_in_chains(spark):
+    """10,000 generations, of which a few are full: those are judged in chains, apart from each other."""
+    n = 10_000
+    groups = spark.range(n * 4).select((F.col("id") / 4).cast("long").alias("gen"), F.array(F.concat(F.lit("k"), F.when(F.col("id") / 4 % 500 < 3, F.col("id") % 97).otherwise(F.col("id") % 2).cast("string"))).alias("key"), F.col("id").alias("first_seen")).groupBy("gen", "key").agg(F.min("first_seen").alias("first_seen"))
+    told = limit.chains(groups.select(F.lit(0).alias("stream"), "gen", "key"), 3)
+    full = told.where("full").groupBy("chain").agg(F.count("*").alias("n")).collect()
+    assert len(full) == 20 and max(r.n for r in full) <= 6
+    before, want = set(), {}
+    for r in sorted(groups.collect(), key=lambda r: (r.gen, r.first_seen)):
+        gen, seen = want.setdefault("at", (r.gen, set()))
+        if gen != r.gen:
+            before = seen
+            want["at"] = (r.gen, set())
+        now = want["at"][1]
+        if r.key[0] in before or len(before | now) < 3:
+            now.add(r.key[0])
+            want[r.gen, r.key[0]] = True
+    want.pop("at")
+    assert {(r.gen, r.key[0]) for r in limit.admissions(groups, 3).where("admitted").collect()} == set(want)
+
+
+def test_snapshots_of_two_generations(spark, tmp_path):
+    spec = StreamSpec(interval="10m", group_by=("foo",), group_limit=2)
+    df = at(spark, [({"foo": "old"}, 0), ({"foo": "a"}, 11), ({"foo": "b", "v": "1"}, 12), ({"foo": "a", "v": "2"}, 16), ({"foo": "c"}, 17), ({"foo": "b", "v": "1"}, 18), ({"foo": "d"}, 21)])
+    now = 1_704_067_200_000_000 + 19 * MINUTE
+    one = sketches.snapshot(df, spec, now, "n0")
+    sketches.write(one, str(tmp_path / "n0"))
+    sketches.write(sketches.snapshot(df.where("arrival in (1, 4)"), spec, now, "n1"), str(tmp_path / "n1"))
+    alone, _ = sketches.read(spark, [str(tmp_path / "n0")])
+    assert counts(sketches.merged(alone).select("key", "value")) == {("a",): 2, ("b",): 1}
+    assert tuple(sketches.merged_limits(alone).first()) == ("10m0s", "foo", 2, 1, 3, 2)
+    found, lost = sketches.read(spark, [str(tmp_path / f"n{i}") for i in range(3)])
+    assert len(lost) == 1 and counts(sketches.merged(found).select("key", "value")) == {("a",): 2, ("b",): 1, ("c",): 1}
+    assert tuple(sketches.merged_limits(found).first()) == ("10m0s", "foo", 3, 0, 3, 2)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|CANNOT_READ"):
+        sketches.read(spark, [str(tmp_path / "bad")])
+    whole = sketches.snapshot(df, StreamSpec(interval="10m"), now)
+    assert counts(sketches.merged(whole).select("key", "value")) == {(): 4}
+
+
+def test_the_job_step_by_step(spark, tmp_path):
+    """Requests as a stream, in steps of any size, give the lines of one step; limits hold as in the rule."""
+    from datetime import datetime, timedelta
+
+    from seriescope.streaming import job
+
+    rng = random.Random(31)
+    requests, trace = [], {}
+    for i in range(24):
+        minute = i  # five requests for each generation
+        series = [(rng.choice("abcdefg"), str(rng.randrange(3))) for _ in range(rng.randrange(1, 4))]
+        trace.setdefault(minute // 5, []).extend(series)
+        requests.append((i, datetime(2024, 1, 1) + timedelta(minutes=minute), bytearray(wire.encode([[("foo", k), ("v", v)] for k, v in series], "zstd" if i % 2 else "snappy"))))
+    df = spark.createDataFrame(requests, "request long, ts timestamp, body binary").coalesce(1)
+    specs = load("streams:\n- {interval: 10m, group_by: [foo], group_limit: 3}\n- {interval: 10m}\n- {interval: 20m, group_by: [foo, v]}\n")
+    shown, live, dropped = model(trace, 3)[4]
+    want = {f'cardinality_estimate{{interval="10m0s",group_by_keys="foo",group_by_values="{k}",by_foo="{k}"}} {n}' for k, n in shown.items()}
+    want |= {f'cardinality_estimate{{interval="10m0s",group_by_keys="__group__",group_by_values="foo"}} {live + dropped}', 'cardinality_group_limit{interval="10m0s",group_by_keys="__group__",group_by_values="foo"} 3'}
+    for k, cuts in enumerate(([24], [5, 10, 15, 20, 24], [3, 4, 11, 17, 22, 24])):
+        said, start = [], 0
+        step = job.stepper(str(tmp_path / f"job{k}"), specs, lambda out, epoch: said.append({r.line for r in out.collect()}))
+        for epoch, end in enumerate(cuts):
+            step(df.where((F.col("request") >= start) & (F.col("request") < end)), epoch)
+            start = end
+        assert want <= said[-1]
+        rest = {x for x in said[-1] if 'interval="10m0s"' not in x}
+        first = rest if k == 0 else first
+        assert rest == first and {x for x in said[-1] if "__global__" in x} == {f'cardinality_estimate{{interval="10m0s",group_by_keys="__global__"}} {len(set(trace[3]) | set(trace[4]))}'}
+    for i in range(0, 24, 8):
+        df.where((F.col("request") >= i) & (F.col("request") < i + 8)).write.parquet(str(tmp_path / "in" / f"part={i:02d}"))
+    said = []
+    stream = spark.readStream.schema("request long, ts timestamp, body binary, part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    job.start(stream.drop("part"), specs, str(tmp_path / "stream"), lambda out, epoch: said.append({r.line for r in out.collect()}), once=True).awaitTermination()
+    assert len(said) == 3 and want | first <= said[-1]
+    series = job.arrived(df.unionAll(spark.createDataFrame([(99, datetime(2024, 1, 1), bytearray(b"\xff\xff"))], df.schema)))
+    state = job.advance(None, series.where("error is null").drop("error"), specs)
+    got = {r.name: r.value for r in job.counters(series, df, state, specs).collect()}
+    n = sum(map(len, trace.values()))
+    assert got == {"write_requests_total": 24, "parser_rows_total": n, "parser_errors_total": 1, "inserts_total": 3 * n, "rejected_groups": dropped}
+
+
 def test_alerts_and_matchers(spark):
     from datetime import datetime, timedelta
 
