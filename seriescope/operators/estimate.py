@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.spec import StreamSpec
 from .limit import enforced
-from .series import contributes, fingerprint, group_key, grouped
+from .series import contributes, group_key, grouped, identity
 
 
 def error_bound(p: int, exact: Column) -> Column:
@@ -47,7 +47,7 @@ def assigned(series: DataFrame, specs: Sequence[StreamSpec], *more: str) -> Data
     """stream, key, fp and ``more``: every series once for each stream that it contributes to. One scan serves all streams."""
     labels = F.col("labels")
     options = [F.when(contributes(labels, s.group_by), F.struct(F.lit(i).alias("stream"), group_key(labels, s.group_by).alias("key"))) for i, s in enumerate(specs)]
-    each = series.select(fingerprint(labels).alias("fp"), F.explode(F.array_compact(F.array(*options))).alias("at"), *more)
+    each = series.select(identity(series).alias("fp"), F.explode(F.array_compact(F.array(*options))).alias("at"), *more)
     return each.select("at.stream", "at.key", "fp", *more)
 
 

@@ -17,6 +17,11 @@ def fingerprint(labels: Column, sort_labels: bool = False) -> Column:
     return F.xxhash64(F.array_sort(labels) if sort_labels else labels)
 
 
+def identity(series: DataFrame) -> Column:
+    """The identity that the source gave the series (``fp``), or the fingerprint of its labels."""
+    return F.col("fp") if "fp" in series.columns else fingerprint(F.col("labels"))
+
+
 def label_value(labels: Column, name: str) -> Column:
     """The first label of that name, or null."""
     return F.get(F.filter(labels, lambda x: x["name"] == name), F.lit(0))["value"]
@@ -34,7 +39,7 @@ def contributes(labels: Column, keys: Sequence[str]) -> Column:
 
 def grouped(series: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
     """key, fp and the columns ``more`` of the series that contribute."""
-    return series.where(contributes(F.col("labels"), keys)).select(group_key(F.col("labels"), keys).alias("key"), fingerprint(F.col("labels")).alias("fp"), *more)
+    return series.where(contributes(F.col("labels"), keys)).select(group_key(F.col("labels"), keys).alias("key"), identity(series).alias("fp"), *more)
 
 
 def flat(df: DataFrame, keys: Sequence[str], key: str = "key") -> DataFrame:

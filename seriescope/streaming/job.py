@@ -21,7 +21,7 @@ from ..functions import exposition
 from ..operators.estimate import assigned
 from ..operators.generations import epoch_us
 from ..operators.limit import admissions
-from ..plans.spec import StreamSpec
+from ..plans.spec import StreamSpec, projected
 from ..sources import wire
 
 STATE = "stream int, gen long, key array<string>, first_seen long, sketch binary"
@@ -29,10 +29,11 @@ STATE = "stream int, gen long, key array<string>, first_seen long, sketch binary
 COUNTERS = ("write_requests_total", "parser_rows_total", "parser_errors_total", "inserts_total", "rejected_groups")
 
 
-def arrived(requests: DataFrame, most: int = wire.MAX_UNPACKED) -> DataFrame:
-    """labels, ts, arrival, error of the requests (request, ts, body): a series arrives with its request, in the order of requests."""
-    found = wire.read_requests(requests.select(F.struct("request", "ts").alias("request"), "body"), most=most)
-    return found.select("labels", F.col("request.ts").alias("ts"), F.col("request.request").alias("arrival"), "error")
+def arrived(requests: DataFrame, specs: Sequence[StreamSpec], most: int = wire.MAX_UNPACKED) -> DataFrame:
+    """labels, fp, ts, arrival, error of the requests (request, ts, body): a series arrives with its request, in the order of
+    requests. It has its identity, and of its labels those that some stream groups by."""
+    found = wire.read_requests(requests.select(F.struct("request", "ts").alias("request"), "body"), most=most, wanted=frozenset(projected(list(specs))))
+    return found.select("labels", "fp", F.col("request.ts").alias("ts"), F.col("request.request").alias("arrival"), "error")
 
 
 def advance(state: DataFrame | None, series: DataFrame, specs: Sequence[StreamSpec]) -> DataFrame:
@@ -102,7 +103,7 @@ def stepper(folder: str, specs: Sequence[StreamSpec], sink: Callable[[DataFrame,
 
     def step(requests: DataFrame, epoch: int) -> None:
         spark = requests.sparkSession
-        series = arrived(requests).where("error is null").drop("error")
+        series = arrived(requests, specs).where("error is null").drop("error")
         state = advance(_state(spark, folder, epoch - 1), series, specs)
         state.write.mode("overwrite").parquet(f"{folder}/step={epoch}")
         sink(lines(_state(spark, folder, epoch), specs), epoch)

@@ -245,7 +245,8 @@ def test_wire_at_once_equals_field_by_field(spark):
     for k in range(60):
         series = [[(word() or "n", word() or "v") for _ in range(rng.randrange(6))] for _ in range(rng.randrange(30))]
         message = b"".join(wire._field(1, b"".join(wire._field(1, wire._field(1, n.encode()) + wire._field(2, v.encode())) for n, v in x) + (wire._field(2, b"\x10\x01") if rng.random() < 0.8 else b"")) for x in series)
-        names, values, counts = wire.decode_at_once(message)
+        names, values, counts, known = wire.decode_at_once(message)
+        assert known == [wire._identity(b"".join(wire._field(1, wire._field(1, n.encode()) + wire._field(2, v.encode())) for n, v in x)) for x in series]
         assert [list(zip(names[b - c : b].to_pylist(), values[b - c : b].to_pylist())) for b, c in zip(counts.cumsum().tolist(), counts.tolist())] == series
         labels = wire.Labels()
         for cut in (message[: rng.randrange(len(message) + 1)], message + bytes([rng.randrange(256) for _ in range(9)])):
@@ -263,6 +264,7 @@ def test_wire_at_once_equals_field_by_field(spark):
     body = wire.pa.compress(broken + swapped, codec="snappy", asbytes=True)
     rows = wire.read_requests(spark.createDataFrame([("id", bytearray(body))], "request string, body binary")).collect()
     assert [[tuple(x) for x in r.labels] for r in rows] == [[("n\ufffd", "v")], [("n", "v")]] and {r.request for r in rows} == {"id"}
+    assert rows[1].fp == wire._identity(wire._field(1, wire._field(1, b"n") + wire._field(2, b"v")))
 
 
 def test_limits_hold_for_each_stream(spark):
@@ -369,7 +371,7 @@ def test_the_job_step_by_step(spark, tmp_path):
     stream = spark.readStream.schema("request long, ts timestamp, body binary, part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     job.start(stream.drop("part"), specs, str(tmp_path / "stream"), lambda out, epoch: said.append({r.line for r in out.collect()}), once=True).awaitTermination()
     assert len(said) == 3 and want | first <= said[-1]
-    series = job.arrived(df.unionAll(spark.createDataFrame([(99, datetime(2024, 1, 1), bytearray(b"\xff\xff"))], df.schema)))
+    series = job.arrived(df.unionAll(spark.createDataFrame([(99, datetime(2024, 1, 1), bytearray(b"\xff\xff"))], df.schema)), specs)
     state = job.advance(None, series.where("error is null").drop("error"), specs)
     got = {r.name: r.value for r in job.counters(series, df, state, specs).collect()}
     n = sum(map(len, trace.values()))
