@@ -9,7 +9,7 @@ The model is fitted on a bounded sample of labelled rows (``MAX_LABELLED``, by h
 ids, labels, language and source are never inputs.
 
 Defined cases: a null or empty text has the ratios of an empty text and is scored like any other; a null id is kept, and its
-fold is that of the empty text; repeated rows are scored each; without labels of both classes the score is the share of good
+fold is that of the empty text; repeated rows are scored each, and an id that is repeated is learned from once; without labels of both classes the score is the share of good
 labels (0.5 without any); an empty table gives an empty result; further columns are not read.
 """
 

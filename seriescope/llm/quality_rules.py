@@ -7,7 +7,7 @@ learned from. Learning reads a bounded sample of labelled rows (``MAX_LABELLED``
 by hash of the id over the whole label table); the statistics of every row, and the verdicts, are DataFrame expressions.
 
 Defined cases: a null text has no words and fails the base rule; a null id is kept as it is and never labelled; ids that
-stand several times in the labels count once each; without labels, or with one class only, the list is empty and the base
+stand several times in the labels, or in the documents, are learned from once each; without labels, or with one class only, the list is empty and the base
 rule alone decides; an empty table gives an empty result; further columns pass through ``apply_rules``.
 """
 
@@ -120,14 +120,17 @@ def learn(rows: list[dict], features: tuple[str, ...] = RATIOS, most_rules: int
     return rules
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: str = "doc_id", label_col: str = "quality", where: Column | None = None) -> DataFrame:
-    """Documents with a label, about ``most`` of them by hash of the id; never more than twice ``most``. Adds ``_label``."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where: Column | None = None) -> DataFrame:
+    """Id, text and ``_label`` of documents with a label, one of each id, about ``most`` of them by hash of the id; never more than twice ``most``."""
     known = labels.select(F.col("doc_id").alias("_lid"), F.col(label_col).cast("int").alias("_label")).where("_lid is not null and _label in (0, 1)")
     known = known.where(where) if where is not None else known
     share = most / max(1, known.count())
     cut = int((min(1.0, share) - 0.5) * 2**64)
     picked = known.where(F.xxhash64("_lid") <= F.lit(min(cut, 2**63 - 1))).groupBy("_lid").agg(F.max("_label").alias("_label")).limit(2 * most)
-    return docs.join(F.broadcast(picked), F.col(id_col) == F.col("_lid"))
+    found = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_lid"))
+    # Of rows that repeat an id, the one with the least hash of its text is learned from: as many rows as ids reach the driver.
+    key = F.struct(F.xxhash64(text_col).alias("_h"), *[F.col(c) for c in (id_col, text_col, "_label")])
+    return found.groupBy("_lid").agg(F.min(key).alias("_k")).select(*[F.col(f"_k.{c}").alias(c) for c in (id_col, text_col, "_label")])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> list[Rule]:

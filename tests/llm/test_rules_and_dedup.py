@@ -93,3 +93,10 @@ def test_rows_of_the_base_rule_teach_nothing(spark):
     kept = {r.doc_id for r in quality_rules.judged(df, rules).where("kept").collect()}
     assert kept == {i for i, _, q in rows if q}
     assert len(rules) == 1
+
+
+def test_an_id_that_is_repeated_is_learned_from_once(spark):
+    docs = frame(spark, [(7, f"text number {i}") for i in range(500)] + [(None, f"none {i}") for i in range(500)] + [(8, "eight"), (8, "eight"), (9, "nine")])
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (8, 1, 0), (9, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality_rules.labelled_sample(docs.select("doc_id", "text"), labels).collect()
+    assert sorted((r.doc_id, r._label) for r in got) == [(7, 1), (8, 1)]
