@@ -48,15 +48,31 @@ def copies(seed=0, n=60):
     return out + [(2000, "ab" * 300), (2001, "a" * 150), (2002, "a" * 99), (2003, "a" * 100), (1001, "other " + shared[0]), (2004, "x\0y" * 60)] + [(3000, shared[1] * 3 + x) for x in ("p", "q", "")] + [(999, "z" + shared[1] * 3)] + [(3001, shared[2] + "new " + x) for x in ("p" * 120, "q" * 120)]
 
 
-@pytest.mark.parametrize("hot,slice_bytes", [(8192, 2 << 20), (8192, 700), (1, 2 << 20)])
-def test_against_brute_force(spark, monkeypatch, hot, slice_bytes):
+@pytest.mark.parametrize("hot,slice_bytes,share", [(8192, 2 << 20, 0.002), (8192, 700, 0.002), (1, 2 << 20, 0.002), (1, 700, 0.0001), (8192, 2 << 20, 0.0001)])
+def test_against_brute_force(spark, monkeypatch, hot, slice_bytes, share):
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
-    monkeypatch.setattr(suffix_dedup.repeated_windows, "__defaults__", (slice_bytes,))
+    monkeypatch.setattr(suffix_dedup, "PART_CONTEXTS", 3)
+    monkeypatch.setattr(suffix_dedup, "PART_CLASSES", 500)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4_000)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 2_000)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", share)
     texts = copies() + [r for r in TEXTS if r[0] not in (10, 11, 12)] + [(12, "x" * 700)]
     got = Counter(map(tuple, suffix_dedup.deduplicated(frame(spark, texts, extra=("loc", "n"))).collect()))
     assert got == brute(texts)
 
 
+def test_rows_without_an_id_share_nothing(spark):
+    """Null and repeated ids with texts of their own, beside copies; and hot lines that texts go on from differently."""
+    rng = random.Random(8)
+    line = "this is the very common line that countless texts of the table begin with, and go on from as they like, each "
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, line + " ".join(word() for _ in range(rng.randrange(2, 20)))) for i in range(600)]
+    texts += [(None, texts[0][1]), (7, texts[1][1]), (5000, texts[2][1]), (None, texts[4][1])]
+    assert Counter(map(tuple, suffix_dedup.deduplicated(frame(spark, texts)).collect())) == brute(texts)
+    assert len(suffix_dedup.hot_anchors(frame(spark, texts).selectExpr("doc_id", "text", "xxhash64(text) as h"))) >= 1
+
+
 def test_local_parts_against_brute_force():
     rng = np.random.default_rng(3)
     for size in (0, 1, 7, 50, 3000):
