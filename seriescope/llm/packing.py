@@ -33,7 +33,7 @@ CAPACITY = 2048
 #: Pieces of a group (a task packs one group at a time), and rounds of exchange after the first packing.
 GROUP_PIECES, ROUNDS = 60_000, 3
 #: Units whose ids a worker remembers at most; bytes of texts that are encoded at once; units handed to the tokenizer as one text.
-REMEMBERED, BATCH_BYTES, TOGETHER = 1_000_000, 4 << 20, 1_024
+REMEMBERED, BATCH_BYTES, TOGETHER = 250_000, 1 << 20, 1_024
 
 PIECES = "nr long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
