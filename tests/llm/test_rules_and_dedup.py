@@ -100,3 +100,19 @@ def test_an_id_that_is_repeated_is_learned_from_once(spark):
     labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (8, 1, 0), (9, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality_rules.labelled_sample(docs.select("doc_id", "text"), labels).collect()
     assert sorted((r.doc_id, r._label) for r in got) == [(7, 1), (8, 1)]
+
+
+def test_verdicts_against_plain_rules(spark):
+    """The ordered expressions decide as the rules do when they are read one after the other, on the labelled rows of a table."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.fit(docs, labels)
+    assert rules
+    stats = {r.doc_id: r.asDict() for r in with_stats(docs.unionAll(docs.limit(0))).collect()}
+    want = {}
+    for i, r in stats.items():
+        failed = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+        number = 0 if failed else next((k for k, rule in enumerate(rules, 1) if rule.holds(r)), None)
+        want[i] = (failed, number is None, number)
+    got = {r.doc_id: (r.base_failed, r.kept, r.rule) for r in quality_rules.judged(docs, rules).collect()}
+    assert got == want and {n for _, _, n in want.values()} >= {None, 0, 1}
+    assert {r.doc_id for r in quality_rules.apply_rules(docs, rules).select("doc_id").collect()} == {i for i, (_, kept, _) in want.items() if kept}

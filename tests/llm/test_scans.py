@@ -54,6 +54,33 @@ def test_entropy_against_brute_force(spark):
     assert all(abs(got[s] - best(s)) < 1e-9 for s in strings)
 
 
+def brute_spans(text):
+    """All spans by plain means: the base ones, and candidates of high entropy that none of them meets."""
+    found = [(m.start(), k, m.end(), kind) for k, (kind, p, ok) in enumerate(PATTERNS) for m in p.finditer(text) if ok(m)]
+    base = list(found)
+    for m in re.finditer(secrets.CANDIDATE, text):
+        c = m[0]
+        if any(re.search(p, c) for p in secrets.ALLOWED) or any(s < m.end() and m.start() < e for s, _, e, _ in base):
+            continue
+        windows = [Counter(c[i : i + secrets.WINDOW]) for i in range(len(c) - secrets.WINDOW + 1)]
+        bits = max(-sum(n / secrets.WINDOW * math.log2(n / secrets.WINDOW) for n in w.values()) for w in windows)
+        kind, least = next((kind, least) for kind, p, least in secrets.CLASSES if re.search(p, c))
+        if bits >= least - 1e-9:
+            found.append((m.start(), 3, m.end(), kind))
+    return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(found))
+
+
+def test_all_spans_against_brute_force(spark):
+    rng = random.Random(6)
+    kinds = ["0123456789abcdef", "ABCDEF0123456789", secrets.ALPHABET[:62], secrets.ALPHABET, "ab", "abc/def_"]
+    word = lambda: "".join(rng.choice(rng.choice(kinds)) for _ in range(1)) + "".join(rng.choice(k) for k in [rng.choice(kinds)] for _ in range(rng.randrange(5, 60)))
+    glue = [" ", "\n", " password=", "secret: ", " AKIA", "é", ", token = '", "漢 ", "example"]
+    rows = [(i if i % 4 else None, "".join(word() + rng.choice(glue) for _ in range(rng.randrange(1, 12)))) for i in range(400)]
+    got = Counter((r.doc_id, r.spans) for r in secrets.digest(secrets.scan(frame(spark, rows))).collect())
+    want = Counter((i, brute_spans(t)) for i, t in rows)
+    assert got == want and sum("entropy" in k[1] for k in want) > 100
+
+
 def test_many_spans_take_time_in_proportion(spark):
     """Texts of some 20,000 assignments and candidates, in every mixture; one that a nested pattern would recurse on."""
     import time
