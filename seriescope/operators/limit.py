@@ -149,7 +149,9 @@ def limited_windows(series: DataFrame, spec: StreamSpec) -> DataFrame:
 def limit_history(series: DataFrame, spec: StreamSpec) -> DataFrame:
     """gen, live, rejected, group_count of each generation."""
     told = admissions(first_seen(series, spec.group_by, spec.half_us), spec.group_limit)
-    own = told.groupBy("gen").agg(F.count_if(~F.col("admitted")).alias("rejected"))
-    visible = told.where("admitted").select("key", F.explode(F.array(F.col("gen"), F.col("gen") + 1)).alias("gen")).distinct().groupBy("gen").agg(F.count("*").alias("live"))
-    both = visible.join(own, "gen", "full_outer").select("gen", F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
-    return both.withColumn("group_count", F.col("live") + F.col("rejected"))
+    # An admitted group is live in its own generation and the next, a rejected one counts in its own: one pass over both.
+    own, after = F.struct("gen", (~F.col("admitted")).alias("rejected")), F.struct((F.col("gen") + 1).alias("gen"), F.lit(False).alias("rejected"))
+    each = told.select("key", "admitted", F.explode(F.array(own, after)).alias("at")).where(F.col("admitted") | F.col("at.rejected")).select("key", "admitted", "at.*")
+    groups = each.groupBy("gen", "key").agg(F.max("admitted").alias("live"), F.max("rejected").alias("rejected"))
+    sums = groups.groupBy("gen").agg(F.count_if("live").alias("live"), F.count_if("rejected").alias("rejected"))
+    return sums.withColumn("group_count", F.col("live") + F.col("rejected"))
