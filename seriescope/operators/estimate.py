@@ -51,9 +51,12 @@ def assigned(series: DataFrame, specs: Sequence[StreamSpec], *more: str) -> Data
     return each.select("at.stream", "at.key", "fp", *more)
 
 
-def multi_stream(series: DataFrame, specs: Sequence[StreamSpec]) -> DataFrame:
+def multi_stream(series: DataFrame, specs: Sequence[StreamSpec], limits: bool = True) -> DataFrame:
     """stream, key, value for several streams from one scan, of all rows as one generation. Of a stream with more groups than its
-    limit, those that arrive first count (by the column ``arrival``, if there is one, else by their keys)."""
+    limit, those that arrive first count (by the column ``arrival``, if there is one, else by their keys); without ``limits``
+    all groups do."""
+    if not limits:
+        return assigned(series, specs).groupBy("stream", "key").agg(F.count_distinct("fp").alias("value"))
     arrival = F.col("arrival") if "arrival" in series.columns else F.lit(0).cast("long")
     rows = assigned(series.withColumn("arrival", arrival), specs, "arrival").withColumn("gen", F.lit(0).cast("long"))
     return enforced(rows, specs)[0].groupBy("stream", "key").agg(F.count_distinct("fp").alias("value"))
