@@ -6,6 +6,9 @@ for the generation of the latest series and the one before it. So a step reads a
 long the job runs. The state of each step is a folder of its own, named by the step; a step that is repeated after a failure
 reads the same state and writes the same folder.
 
+An exact job counts series themselves. Its state has a row for each series of a live group in place of the sketch, and for a
+rejected group one row without a series; a step reads as much state as there are live series.
+
 Time is the time of arrival, and runs forward: series older than the generation before the latest are ignored.
 """
 
@@ -25,6 +28,7 @@ from ..plans.spec import StreamSpec, projected
 from ..sources import wire
 
 STATE = "stream int, gen long, key array<string>, first_seen long, sketch binary"
+EXACT_STATE = "stream int, gen long, key array<string>, first_seen long, fp long"
 #: Counters of a step, as rows name and value.
 COUNTERS = ("write_requests_total", "parser_rows_total", "parser_errors_total", "inserts_total", "rejected_groups")
 
@@ -36,10 +40,53 @@ def arrived(requests: DataFrame, specs: Sequence[StreamSpec], most: int = wire.M
     return found.select("labels", "fp", F.col("request.ts").alias("ts"), F.col("request.request").alias("arrival"), "error")
 
 
+def _held(state: DataFrame) -> str:
+    """The column that only admitted groups have."""
+    return "fp" if "fp" in state.columns else "sketch"
+
+
+def _latest(df: DataFrame) -> DataFrame:
+    """_stream, _latest: the latest generation of each stream."""
+    return df.groupBy("stream").agg(F.max("gen").alias("_latest")).select(F.col("stream").alias("_stream"), "_latest")
+
+
+def _rows(series: DataFrame, specs: Sequence[StreamSpec]) -> DataFrame:
+    half = F.create_map(*[x for i, s in enumerate(specs) for x in (F.lit(i), F.lit(s.half_us))])[F.col("stream")]
+    return assigned(series, specs, "ts", "arrival").withColumn("gen", F.floor(epoch_us(F.col("ts")) / half).cast("long"))
+
+
+def _not_frozen(groups: DataFrame, state: DataFrame) -> DataFrame:
+    """What the generation before the latest rejected stays rejected, and takes no slot from what comes."""
+    frozen = state.groupBy("stream").agg((F.max("gen") - 1).alias("_frozen")).select(F.col("stream").alias("_stream"), "_frozen")
+    kept = state.where(F.col(_held(state)).isNotNull()).select("stream", "gen", "key", F.lit(True).alias("_kept")).distinct()
+    groups = groups.join(F.broadcast(frozen), F.col("stream") == F.col("_stream"), "left").join(kept, ["stream", "gen", "key"], "left")
+    return groups.where("_frozen is null or gen > _frozen or (gen = _frozen and _kept)")
+
+
+def _limits(specs: Sequence[StreamSpec]) -> dict[int, int]:
+    return {i: s.group_limit if s.group_by else 1 for i, s in enumerate(specs)}
+
+
+def advance_exact(state: DataFrame | None, series: DataFrame, specs: Sequence[StreamSpec]) -> DataFrame:
+    """The state of an exact job after ``series`` (labels, ts, arrival)."""
+    found = _rows(series, specs).select("stream", "gen", "key", F.col("arrival").alias("first_seen"), "fp")
+    if state is not None:
+        found = state.select(*found.columns).unionAll(found)
+    groups = found.groupBy("stream", "gen", "key").agg(F.min("first_seen").alias("first_seen"))
+    if state is not None:
+        groups = _not_frozen(groups, state)
+    told = admissions(groups.select("stream", "gen", "key", "first_seen"), _limits(specs))
+    told = told.join(F.broadcast(_latest(told)), F.col("stream") == F.col("_stream")).where("gen >= _latest - 1").select("stream", "gen", "key", "first_seen", "admitted")
+    # Of two generations; no more groups are admitted than the limits say.
+    live = F.broadcast(told.where("admitted").select("stream", "gen", "key"))
+    kept = found.where("fp is not null").join(live, ["stream", "gen", "key"], "left_semi").groupBy("stream", "gen", "key", "fp").agg(F.min("first_seen").alias("first_seen"))
+    dropped = told.where("not admitted").withColumn("fp", F.lit(None).cast("long"))
+    return kept.select(*found.columns).unionAll(dropped.select(*found.columns))
+
+
 def advance(state: DataFrame | None, series: DataFrame, specs: Sequence[StreamSpec]) -> DataFrame:
     """The state after ``series`` (labels, ts, arrival)."""
-    half = F.create_map(*[x for i, s in enumerate(specs) for x in (F.lit(i), F.lit(s.half_us))])[F.col("stream")]
-    rows = assigned(series, specs, "ts", "arrival").withColumn("gen", F.floor(epoch_us(F.col("ts")) / half).cast("long"))
+    rows = _rows(series, specs)
     parts = []
     for p in sorted({s.hll_precision for s in specs}):
         mine = rows.where(F.col("stream").isin([i for i, s in enumerate(specs) if s.hll_precision == p]))
@@ -50,29 +97,24 @@ def advance(state: DataFrame | None, series: DataFrame, specs: Sequence[StreamSp
     groups = parts[0]
     for other in parts[1:]:
         groups = groups.unionAll(other)
-    limits = {i: s.group_limit if s.group_by else 1 for i, s in enumerate(specs)}
     if state is not None:
-        # What the generation before the latest rejected stays rejected, and takes no slot from what comes.
-        frozen = state.groupBy("stream").agg((F.max("gen") - 1).alias("_frozen")).select(F.col("stream").alias("_stream"), "_frozen")
-        kept = state.where("sketch is not null").select("stream", "gen", "key", F.lit(True).alias("_kept"))
-        groups = groups.join(F.broadcast(frozen), F.col("stream") == F.col("_stream"), "left").join(kept, ["stream", "gen", "key"], "left")
-        groups = groups.where("_frozen is null or gen > _frozen or (gen = _frozen and _kept)")
-    told = admissions(groups.select("stream", "gen", "key", "first_seen"), limits)
-    latest = told.groupBy("stream").agg(F.max("gen").alias("_latest")).select(F.col("stream").alias("_stream"), "_latest")  # one row for each stream
-    now = groups.select("stream", "gen", "key", "sketch").join(told, ["stream", "gen", "key"]).join(F.broadcast(latest), F.col("stream") == F.col("_stream"))
+        groups = _not_frozen(groups, state)
+    told = admissions(groups.select("stream", "gen", "key", "first_seen"), _limits(specs))
+    now = groups.select("stream", "gen", "key", "sketch").join(told, ["stream", "gen", "key"]).join(F.broadcast(_latest(told)), F.col("stream") == F.col("_stream"))
     # A rejected group is known by its key alone: it has no sketch, so nothing of it is counted when it is admitted later.
     return now.where("gen >= _latest - 1").select("stream", "gen", "key", "first_seen", F.when(F.col("admitted"), F.col("sketch")).alias("sketch"))
 
 
 def estimated(state: DataFrame) -> DataFrame:
     """stream, key, value of all live groups."""
-    return state.where("sketch is not null").groupBy("stream", "key").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("value"))
+    held = _held(state)
+    count = F.count_distinct("fp") if held == "fp" else F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return state.where(F.col(held).isNotNull()).groupBy("stream", "key").agg(count.alias("value"))
 
 
 def rejected(state: DataFrame) -> DataFrame:
     """stream, key: groups that the latest generation has rejected."""
-    latest = state.groupBy("stream").agg(F.max("gen").alias("_latest")).select(F.col("stream").alias("_stream"), "_latest")
-    return state.where("sketch is null").join(F.broadcast(latest), (F.col("stream") == F.col("_stream")) & (F.col("gen") == F.col("_latest"))).select("stream", "key")
+    return state.where(F.col(_held(state)).isNull()).join(F.broadcast(_latest(state)), (F.col("stream") == F.col("_stream")) & (F.col("gen") == F.col("_latest"))).select("stream", "key")
 
 
 def lines(state: DataFrame, specs: Sequence[StreamSpec], limit_metric: str = exposition.LIMIT_METRIC) -> DataFrame:
@@ -93,25 +135,33 @@ def counters(series: DataFrame, requests: DataFrame, state: DataFrame, specs: Se
     return out.unionAll(one(inserted, COUNTERS[3])).unionAll(one(rejected(state).agg(F.count("*")), COUNTERS[4]))
 
 
-def _state(spark: SparkSession, folder: str, step: int) -> DataFrame | None:
-    return spark.read.schema(STATE).parquet(f"{folder}/step={step}") if step >= 0 else None
+def _at(folder: str, step: int, exact: bool) -> str:
+    """Folders of the two kinds of state differ in name, so neither is taken for the other."""
+    return f"{folder}/{'exact' if exact else 'step'}={step}"
+
+
+def _state(spark: SparkSession, folder: str, step: int, exact: bool) -> DataFrame | None:
+    return spark.read.schema(EXACT_STATE if exact else STATE).parquet(_at(folder, step, exact)) if step >= 0 else None
 
 
-def stepper(folder: str, specs: Sequence[StreamSpec], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+def stepper(folder: str, specs: Sequence[StreamSpec], sink: Callable[[DataFrame, int], None], exact: bool = False) -> Callable[[DataFrame, int], None]:
     """What a stream of requests does with each batch: advance the state in ``folder`` and hand lines to ``sink``. A new folder is
-    a reset."""
+    a reset. ``exact`` counts series themselves, not by sketches."""
 
     def step(requests: DataFrame, epoch: int) -> None:
         spark = requests.sparkSession
         series = arrived(requests, specs).where("error is null").drop("error")
-        state = advance(_state(spark, folder, epoch - 1), series, specs)
-        state.write.mode("overwrite").parquet(f"{folder}/step={epoch}")
-        sink(lines(_state(spark, folder, epoch), specs), epoch)
+        # Groups are judged before series are kept, which reads them several times: they are decoded once.
+        series.write.mode("overwrite").parquet(f"{folder}/series")
+        series = spark.read.schema(series.schema).parquet(f"{folder}/series")
+        state = (advance_exact if exact else advance)(_state(spark, folder, epoch - 1, exact), series, specs)
+        state.write.mode("overwrite").parquet(_at(folder, epoch, exact))
+        sink(lines(_state(spark, folder, epoch, exact), specs), epoch)
 
     return step
 
 
-def start(requests: DataFrame, specs: Sequence[StreamSpec], folder: str, sink: Callable[[DataFrame, int], None], once: bool = False) -> StreamingQuery:
+def start(requests: DataFrame, specs: Sequence[StreamSpec], folder: str, sink: Callable[[DataFrame, int], None], once: bool = False, exact: bool = False) -> StreamingQuery:
     """Run the job over a stream of requests (request, ts, body). ``folder`` is shared by the driver and all executors."""
-    writer = requests.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(stepper(folder, specs, sink))
+    writer = requests.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(stepper(folder, specs, sink, exact))
     return (writer.trigger(availableNow=True) if once else writer).start()
